@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkloom.llm.bpe import bpe_round_trip
 from chunkloom.llm.common import table
 from chunkloom.llm.exact_dedup import exact_dedup
+from chunkloom.llm.tokenfst import token_counts
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
     }
