@@ -257,9 +257,26 @@ class CompiledTokenizer:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special):
             raise ValueError("special tokens that strip their surroundings can't be compiled")
         self.special = [t["content"] for t in special]
+        self.special_ids = {t["content"]: t["id"] for t in special}
         self.bpe = MatrixBPE(ranks, public_tokenizers.PATTERN)
         self.boundaries, self.lexicon = BoundaryTransducer(), LexiconTransducer(self.bpe)
 
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers; special tokens in a text get their own ids."""
+        marked = {i for i, t in enumerate(texts) if any(token in t for token in self.special)}
+        for i, ids in enumerate(self.bpe.encode_batch(["" if i in marked else t for i, t in enumerate(texts)])):
+            yield b"".join(self._marked(texts[i])) if i in marked else ids
+
+    def _marked(self, text: str) -> Iterator[bytes]:
+        first = min(self.special, key=lambda token: at if (at := text.find(token)) >= 0 else len(text))
+        before, found, after = text.partition(first)
+        yield from self.bpe.encode_batch([before])
+        while found:
+            yield self.special_ids[found].to_bytes(4, "little")
+            first = min(self.special, key=lambda token: at if (at := after.find(token)) >= 0 else len(after))
+            before, found, after = after.partition(first)
+            yield from self.bpe.encode_batch([before])
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         total = np.zeros(len(texts), np.int64)
