@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkloom.llm.bpe import bpe_round_trip
 from chunkloom.llm.common import table
 from chunkloom.llm.exact_dedup import exact_dedup
+from chunkloom.llm.langid import language_id
 from chunkloom.llm.packing import pack_documents
 from chunkloom.llm.tokenfst import token_counts
 
@@ -30,12 +31,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op9_language_id": op9_language_id,
     }
 
 
