@@ -11,6 +11,7 @@ from chunkloom.llm.bpe import bpe_round_trip
 from chunkloom.llm.common import table
 from chunkloom.llm.exact_dedup import exact_dedup
 from chunkloom.llm.langid import language_id
+from chunkloom.llm.license_scan import license_scan
 from chunkloom.llm.packing import pack_documents
 from chunkloom.llm.tokenfst import token_counts
 
@@ -35,6 +36,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op9_language_id": op9_language_id,
+        "op10_license_scan": op10_license_scan,
     }
 
 
