@@ -14,6 +14,16 @@ from chunkloom.llm.langid import language_id
 from chunkloom.llm.license_scan import license_scan
 from chunkloom.llm.packing import pack_documents
 from chunkloom.llm.tokenfst import token_counts
+from chunkloom.llm.url_filter import url_filter
+from chunkloom.llm.voronoi_knn import knn_join
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join(table(spark, sf_dir, "embeddings"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +52,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_token_counts": op2_token_counts,
+        "op3_voronoi_knn": op3_voronoi_knn,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
@@ -53,6 +65,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_voronoi_knn": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                       CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id
+                WHERE q.vec_id % 100 = 0
+            ), r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+                FROM s
+            )
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+        """,
         "op5_exact_dedup": """
             WITH d AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
