@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkloom.llm.bpe import bpe_round_trip
 from chunkloom.llm.common import table
 from chunkloom.llm.exact_dedup import exact_dedup
+from chunkloom.llm.jaccard_join import jaccard_components
 from chunkloom.llm.langid import language_id
 from chunkloom.llm.license_scan import license_scan
 from chunkloom.llm.packing import pack_documents
@@ -30,6 +31,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_token_counts": op2_token_counts,
         "op3_voronoi_knn": op3_voronoi_knn,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
