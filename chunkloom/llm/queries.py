@@ -14,6 +14,7 @@ from chunkloom.llm.jaccard_join import jaccard_components
 from chunkloom.llm.langid import language_id
 from chunkloom.llm.license_scan import license_scan
 from chunkloom.llm.packing import pack_documents
+from chunkloom.llm.suffix_dedup import suffix_dedup
 from chunkloom.llm.tokenfst import token_counts
 from chunkloom.llm.url_filter import url_filter
 from chunkloom.llm.voronoi_knn import knn_join
@@ -47,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
     }
@@ -87,6 +93,23 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
         """,
+        "op4_jaccard_join": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a
+                FROM documents
+            ), s AS (
+                SELECT DISTINCT doc_id, CASE WHEN len(a) < 5 THEN array_to_string(a, ' ') ELSE array_to_string(a[i:i + 4], ' ') END AS g
+                FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 4, 1) + 1)) AS i FROM w WHERE len(a) > 0)
+            ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+            ), p AS (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+            ), l AS (
+                SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+            ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l
+            ), r(doc_id, reach) AS (SELECT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
+            SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+            FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY 1) m USING (doc_id)
+        """,
         "op5_exact_dedup": """
             WITH d AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
