@@ -144,9 +144,10 @@ def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _narrow(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), _key(text).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rest = [F.col(c).alias(f"k{i}") for i, c in enumerate(carried)]
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), _key(text).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *rest)
 
 
 def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
@@ -353,20 +354,24 @@ def covered(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash, doc_id, text of all rows, with first, last, verdict of judged anchors and starts of repeated strings (null without)."""
+def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text of all rows, with first, last, verdict of judged anchors and starts of repeated strings (null without).
+
+    carried: further columns of docs to take along, as k0, k1, ...
+    """
     spark = docs.sparkSession
-    rows = _narrow(docs, id_col, text_col)
+    rows = _narrow(docs, id_col, text_col, list(carried))
+    rest = [f"k{i}" for i in range(len(carried))]
     tasks = max(12, partitions(spark))
     found = by_document(judged_anchors(anchor_rows(rows, tasks), tasks))
     judged = found.select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), "first", "last", "anchor", "verdict")
     same = (F.col("id") == F.col("f_id")) & (F.col("hash") == F.col("f_hash"))
-    held = materialize(rows.join(judged, same, "left").select("id", "hash", "doc_id", "text", "first", "last", "anchor", "verdict"), "suffix-judged")
+    held = materialize(rows.join(judged, same, "left").select("id", "hash", "doc_id", "text", "first", "last", "anchor", "verdict", *rest), "suffix-judged")
     contexts = open_contexts(held.where("verdict is not null"), tasks)
     strings = materialize(strings_of(repeated_strings(contexts, tasks)), "suffix-strings")
     same = (F.col("id") == F.col("s_id")) & (F.col("hash") == F.col("s_hash"))
-    marked = held.where("verdict is not null").join(strings, same, "left").select("doc_id", "text", "first", "last", "verdict", "starts")
-    plain = held.where("verdict is null").select("doc_id", "text", "first", "last", "verdict", F.lit(None).cast("binary").alias("starts"))
+    marked = held.where("verdict is not null").join(strings, same, "left").select("doc_id", "text", "first", "last", "verdict", "starts", *rest)
+    plain = held.where("verdict is null").select("doc_id", "text", "first", "last", "verdict", F.lit(None).cast("binary").alias("starts"), *rest)
     return marked.unionByName(plain)
 
 
@@ -395,4 +400,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(body)), removed.append(gone), spans.append(runs), digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked_documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked_documents(docs, id_col, text_col).select("doc_id", "text", "first", "last", "verdict", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with the repeated bytes cut out of their texts (a character cut in two goes whole); lengths follow.
+
+    A null text stays null.
+    """
+    carried = tuple(c for c in docs.columns if c != text_col)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    names = [f"k{i}" for i in range(len(carried))]
+    schema = ", ".join(["text string", *(f"{k} {kinds[c].simpleString()}" for k, c in zip(names, carried, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_bytes(text.encode(), *marks)[0].decode(errors="ignore") for text, *marks in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(5 + i) for i in range(len(names)))], ["text", *names])
+
+    marked = marked_documents(docs.withColumn("__null", F.col(text_col).isNull()), id_col, text_col, (*carried, "__null"))
+    names, schema = [*names, f"k{len(carried)}"], f"{schema}, k{len(carried)} boolean"
+    cut = marked.select("text", "first", "last", "verdict", "starts", *names).mapInArrow(run, schema)
+    text = F.when(~F.col(names[-1]), F.col("text"))
+    out = {c: F.col(k) for c, k in zip(carried, names, strict=False)} | {text_col: text}
+    if length_col in out:
+        out[length_col] = F.coalesce(F.length(text).cast(kinds[length_col]), out[length_col])
+    return cut.select(*(out[c].alias(c) for c in docs.columns))
