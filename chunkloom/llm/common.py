@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_own: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,8 +29,9 @@ def work_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="chunkloom-"))
+        at = _own[0]
     return at.rstrip("/")
 
 
