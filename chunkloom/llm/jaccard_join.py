@@ -9,10 +9,12 @@
    position (sets in order of size), sets in one component are not compared again, a set's overlaps are
    derived from those of a highly similar set by the tokens in which the two differ, and the triangle
    inequality of the Jaccard distance skips sets that a common leader tells apart.
-4. What remains: pairs that share a prefix token, pass the size and position filters, stand in different
-   components and met in no part. All of them are verified. No link between different texts is lost, because
-   two linked sets share a prefix token, and each pair of sets that do is either verified, or already
-   connected, or shown to be unlinked by an exact bound.
+4. What remains: sets that share a prefix token, pass the size and position filters, stand in different
+   components and met in no part. The set in the smaller component visits the larger component, whose members
+   are dealt over parts of bounded size; a visitor counts its overlaps with a whole part in one pass. Pairs
+   are never emitted. No link between different texts is lost, because two linked sets share a prefix
+   token, and two sets that do are either compared, or already connected, or shown to be unlinked by an exact
+   bound.
 
 Defined results: null or empty text, or text without words, has an empty set, no links and its own id as
 component; text with fewer than five words is one shingle; equal texts share a component; a null id takes the
@@ -320,35 +322,43 @@ def part_links(live: DataFrame, groups: int) -> DataFrame:
     return sent.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(link, "a binary, b binary")
 
 
-def open_pairs(live: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """Distinct pairs a, b that share a prefix token, could be linked by size and position, and met in no part."""
+def open_visits(live: DataFrame, buckets: int) -> DataFrame:
+    """visitor, host: sets that must still meet a component.
+
+    Two sets that share a prefix token, could be linked by size and position, stand in different components
+    and met in no part make the one in the smaller component a visitor of the other's.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, token, place, routes = [], [], [], []
-            for i, (_, n, tokens, frequency, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+            for i, (node, n, tokens, frequency) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 t = np.frombuffer(tokens, "<u8")
                 m = prefix_of(n, len(t))
                 row.append(np.full(m, i))
                 token.append(t[:m])
                 place.append(n - len(t) + np.arange(m))
-                routes.append(routes_of(batch.column(0)[i].as_py(), n, t, np.frombuffer(frequency, "<u4")) + [0] * ROUTES)
+                routes.append(routes_of(node, n, t, np.frombuffer(frequency, "<u4")) + [0] * ROUTES)
             rows = np.concatenate(row) if row else np.zeros(0, np.int64)
             take = pa.array(rows)
             met = np.array([r[:ROUTES] for r in routes], np.int64).reshape(-1, ROUTES)[rows]
-            columns = [pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(4).take(take), pa.array(np.concatenate(place) if place else rows, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(met[:, r]) for r in range(ROUTES))], ["token", "node", "n", "label", "place", *(f"r{r}" for r in range(ROUTES))])
-
-    def pairs(table: pa.Table) -> pa.Table:
-        token, n, place = (table.column(c).to_numpy() for c in ("token", "n", "place"))
-        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, int)
-        names = table.column("node").combine_chunks().dictionary_encode() if table.num_rows else None
-        node = names.indices.to_numpy(zero_copy_only=False) if names is not None else label
+            columns = [pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), *(batch.column(c).take(take) for c in (0, 1, 4, 5)), pa.array(np.concatenate(place) if place else rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(met[:, r]) for r in range(ROUTES))], ["token", "node", "n", "label", "members", "place", *(f"r{r}" for r in range(ROUTES))])
+
+    def visits(table: pa.Table) -> pa.Table:
+        token, n, place, members = (table.column(c).to_numpy() for c in ("token", "n", "place", "members"))
+        labels_, nodes = (table.column(c).combine_chunks().dictionary_encode() for c in ("label", "node"))
+        known = labels_.dictionary.to_pylist()
+        rank = np.empty(len(known), np.int64)
+        rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+        label, node = labels_.indices.to_numpy(zero_copy_only=False), nodes.indices.to_numpy(zero_copy_only=False)
         met = np.column_stack([table.column(f"r{r}").to_numpy() for r in range(ROUTES)])
         order = np.lexsort((n, token))
-        token, n, place, label, node, met = token[order], n[order], place[order], label[order], node[order], met[order]
+        token, n, place, label, node, met, members = token[order], n[order], place[order], label[order], node[order], met[order], members[order]
+        strong = members * len(known) + rank[label]  # the larger component is the host
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, int)
         found: list[np.ndarray] = []
+        held = 0
         for s, e in zip(edges, edges[1:], strict=False):
             if e - s < 2 or (label[s:e] == label[s]).all():
                 continue
@@ -365,39 +375,70 @@ def open_pairs(live: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
                         for y in range(ROUTES):
                             together |= (met[j, x] == met[i, y]) & (met[i, y] != 0)
                     j = j[~together]
-                    found.append(np.column_stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
-            if sum(map(len, found)) > 2_000_000:
+                    goes = strong[i] < strong[j]
+                    out = np.unique(np.column_stack([np.where(goes, node[i], node[j]), np.where(goes, label[j], label[i])]), axis=0)
+                    found.append(out)
+                    held += len(out)
+            if held > 1_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
+                held = len(found[0])
         both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
-        text = names.dictionary if names is not None else pa.array([], pa.binary())
-        a, b = (text.take(pa.array(both[:, c])).cast(pa.binary()) for c in (0, 1))
-        return pa.Table.from_arrays([a, b], names=["a", "b"])
+        return pa.Table.from_arrays([nodes.dictionary.take(pa.array(both[:, 0])).cast(pa.binary()), labels_.dictionary.take(pa.array(both[:, 1])).cast(pa.binary())], names=["visitor", "host"])
 
-    labelled = live.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left")
-    labelled = labelled.select("node", "n", "tokens", "frequency", F.coalesce("label", "node").alias("label"))
     met = ", ".join(f"r{r} long" for r in range(ROUTES))
-    posted = labelled.mapInArrow(post, f"token long, node binary, n long, label binary, place long, {met}")
-    raw = posted.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("g")).applyInArrow(pairs, "a binary, b binary")
-    return raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """The pairs that are linked."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (na, ta, nb, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-                both = len(np.intersect1d(np.frombuffer(ta, "<u8"), np.frombuffer(tb, "<u8"), True))
-                if both >= least_overlap(na, nb):
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
-
+    posted = live.select("node", "n", "tokens", "frequency", "label", "members").mapInArrow(post, f"token long, node binary, n long, label binary, members long, place long, {met}")
+    raw = posted.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("g")).applyInArrow(visits, "visitor binary, host binary")
+    return raw.distinct()
+
+
+def met_links(visits: DataFrame, live: DataFrame, tasks: int) -> DataFrame:
+    """Edges a, b between visitors and members of their hosts; large components and crowds of visitors are dealt over parts."""
+    crowd = visits.groupBy("host").agg(F.count(F.lit(1)).alias("crowd"))
+    hosts = live.select("label", "members").dropDuplicates(["label"]).join(crowd, F.col("label") == F.col("host"))
+    hosts = hosts.select("host", F.ceil(F.col("members") / GROUP_SETS).alias("parts"), F.ceil(F.col("crowd") / GROUP_SETS).alias("crowds"))
+    hosts = materialize(hosts, "jaccard-hosts")
+    every = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+    here = live.join(hosts, F.col("label") == F.col("host")).select("host", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), every("crowds").alias("crowd"), F.lit(False).alias("visits"), "node", "n", "tokens")
     sets = live.select("node", "n", "tokens")
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(check, "a binary, b binary")
+    guests = visits.join(hosts, "host").select("host", "visitor", "parts", F.pmod(F.xxhash64("visitor"), F.col("crowds")).alias("crowd"))
+    guests = guests.join(sets, F.col("visitor") == F.col("node")).select("host", every("parts").alias("part"), "crowd", F.lit(True).alias("visits"), "node", "n", "tokens")
+
+    def meet(table: pa.Table) -> pa.Table:
+        host = table.column("host").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        part, crowd, guest, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "crowd", "visits", "n"))
+        nodes, blobs = table.column("node").to_pylist(), table.column("tokens").to_pylist()
+        order = np.lexsort((guest, crowd, part, host))
+        new = np.ones(len(order), bool)
+        key = np.column_stack([host, part, crowd])[order]
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        edges = np.append(np.flatnonzero(new), len(order))
+        a, b = [], []
+        for s, e in zip(edges, edges[1:], strict=False):
+            rows = order[s:e]
+            split = int(np.searchsorted(guest[rows], True))
+            members, visitors = rows[:split], rows[split:]
+            if not len(members) or not len(visitors):
+                continue
+            sets_ = [np.frombuffer(blobs[r], "<u8") for r in members]
+            known, dense = np.unique(np.concatenate(sets_), return_inverse=True)
+            owner = np.repeat(np.arange(len(members)), [len(t) for t in sets_])[np.argsort(dense, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(dense, minlength=len(known)))])
+            size = n[members]
+            for v in visitors.tolist():
+                mine = np.frombuffer(blobs[v], "<u8")
+                at = np.searchsorted(known, mine)
+                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)]
+                count = starts[at + 1] - starts[at]
+                pick = np.repeat(starts[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                both = np.bincount(owner[pick], minlength=len(members))
+                hit = np.flatnonzero(both >= least_overlap(size, int(n[v])))
+                if len(hit):  # one link joins the components
+                    a.append(nodes[v])
+                    b.append(nodes[members[hit[0]]])
+        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    keyed = here.unionByName(guests).withColumn("g", F.pmod(F.xxhash64("host", "part", "crowd"), F.lit(tasks)))
+    return keyed.groupBy("g").applyInArrow(meet, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,8 +451,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = materialize(live_sets(shared_tokens(token_rows(docs, text_col, buckets), buckets)), "jaccard-live")
     edges = materialize(part_links(live, tasks), "jaccard-parts")
     labels = components(edges)
-    pairs = materialize(open_pairs(live, labels, tasks), "jaccard-open")
-    more = materialize(verified(pairs, live), "jaccard-more")
+    named = live.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
+    members = named.groupBy(F.col("label").alias("m_label")).agg(F.count(F.lit(1)).alias("members"))
+    named = materialize(named.join(materialize(members, "jaccard-members"), F.col("label") == F.col("m_label")).drop("m_label"), "jaccard-named")
+    visits = materialize(open_visits(named, tasks), "jaccard-visits")
+    more = materialize(met_links(visits, named, tasks), "jaccard-more")
     if not more.isEmpty():
         labels = components(edges.union(more))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
