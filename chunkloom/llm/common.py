@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_TABLES: dict = {}
 _own: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -119,8 +121,14 @@ def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[Texts]:
         i = j
 
 
-def arrow_schema(**fields: pa.DataType) -> pa.Schema:
-    return pa.schema(list(fields.items()))
+def trim() -> None:
+    """Give freed memory back to the system: a worker process is kept, and serves other stages after this one."""
+    if "libc" not in _TABLES:
+        try:
+            _TABLES["libc"] = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _TABLES["libc"] = lambda _: 0
+    _TABLES["libc"](0)
 
 
 def mix64(z: np.ndarray) -> np.ndarray:
@@ -132,9 +140,6 @@ def mix64(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-_TABLES: dict = {}
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base ** k mod 2 ** 64 for k < n."""
     have = _TABLES.get(("pow", base))

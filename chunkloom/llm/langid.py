@@ -5,7 +5,7 @@ C, uniform below), frozen after training. All trees share one set of contexts, s
 state, its longest shared context, found by walking back at most MAX_ORDER bytes; each (state, byte) has the
 exact code length under every language precomputed, escapes included. A text's score is the sum of its code
 lengths over all of its bytes; the shortest code wins. Byte values that no training text holds share one
-symbol, which changes no code length.
+symbol; which of them it is costs the same under every language and is left out.
 
 Training looks at text and lang alone, of at most TRAIN_DOCS documents a language: those with the smallest
 hash of their id, none of them held out or above TRAIN_DOC_BYTES. This bound is a parameter; prediction covers

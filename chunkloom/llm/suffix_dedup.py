@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import Texts, materialize, mix64, partitions, prefix_hash, span_hash, text_slices
+from chunkloom.llm.common import Texts, materialize, mix64, partitions, prefix_hash, span_hash, text_slices, trim
 
 WINDOW = 200
 ANCHOR = 64
 #: First q-gram of the refinement; WINDOW is q times a power of two.
 FIRST_GRAM = 50
 HOT_CONTEXTS = 512
-FLUSH_ANCHORS = 200_000
+FLUSH_ANCHORS = 100_000
+#: Bytes of text whose anchors are found together, and bytes of contexts that are refined together.
+SLICE_BYTES, REFINE_BYTES = 1 << 18, 1 << 20
 
 
 def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for texts in text_slices(batch.column(2), 1 << 20):
+            for texts in text_slices(batch.column(2), SLICE_BYTES):
                 row, first, last, anchor, context = anchors(texts)
                 base = texts.offsets[row]
                 at = row + texts.first
@@ -176,6 +178,7 @@ def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
                 if size >= FLUSH_ANCHORS:
                     yield pack(held)
                     held, size = [], 0
+            trim()
         yield pack(held)
 
     return rows.select("id", "hash", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in names))
@@ -298,15 +301,16 @@ def repeated_strings(contexts: DataFrame, places: int) -> DataFrame:
             length = rows[:, 3] - rows[:, 2] + WINDOW
             offset = np.cumsum(length) - length
             order = np.argsort(rows[:, 4], kind="stable")
-            # whole anchors together, about four million bytes at a time
+            # whole anchors together, about REFINE_BYTES at a time
             edge = np.flatnonzero(np.diff(rows[order, 4], prepend=rows[order[0], 4] - 1, append=rows[order[-1], 4] + 1))
             total = np.concatenate([[0], np.cumsum(length[order])])[edge]
             a = 0
             while a + 1 < len(edge):
-                b = max(a + 1, int(np.searchsorted(total, total[a] + (4 << 20), "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(total, total[a] + REFINE_BYTES, "right")) - 1)
                 part = order[edge[a] : edge[b]]
                 found.append(_repeated(rows[part], data, offset[part], length[part]))
                 a = b
+            trim()
         hot = [i for i in range(len(kind)) if kind[i] == 1]
         if hot:
             rows = np.concatenate([np.frombuffer(tables[i], "<i8").reshape(-1, 4) for i in hot])
