@@ -159,24 +159,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(samples) if samples else None
 
 
-def judge(batch: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, confidence and bits a byte of each text."""
+def judge(batch: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, confidence, code length in bits (infinite for no language) and bytes of each text."""
     n = len(batch)
-    names, score, rate = [UNKNOWN] * n, np.zeros(n), np.full(n, np.inf)
+    names, score, length, sizes = [UNKNOWN] * n, np.zeros(n), np.full(n, np.inf), np.ones(n, np.int64)
     if model is None:
-        return names, score, rate
+        return names, score, length, sizes
     letters = [t is not None and LETTER.search(t) is not None for t in batch.to_pylist()]
     for texts in text_slices(batch):
         bits = model.bits(texts)
         best = bits.argmin(axis=1)
         gap = np.minimum(bits - bits[np.arange(len(best)), best][:, None], 1000.0)
         sure = 1 / np.exp2(-gap).sum(axis=1)
-        size = np.maximum(texts.lengths, 1)
+        sizes[texts.first : texts.first + len(texts)] = np.maximum(texts.lengths, 1)
         for i, j in enumerate(best.tolist()):
             at = texts.first + i
             if letters[at]:
-                names[at], score[at], rate[at] = model.languages[j], sure[i], bits[i, j] / size[i]
-    return names, score, rate
+                names[at], score[at], length[at] = model.languages[j], sure[i], bits[i, j]
+    return names, score, length, sizes
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +185,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, rate = judge(batch.column(1), shared.value)
+            names, score, length, sizes = judge(batch.column(1), shared.value)
+            rate = length / sizes
             bits = pa.array(np.where(np.isfinite(rate), rate, np.nan), pa.float64(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score), bits], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
@@ -197,8 +198,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs))
 
 
-#: A text is rejected when even its best code is longer than this: bits a byte, 8 being what random bytes cost.
-REJECT_BITS = 6.0
+#: A text is rejected when even its best code is longer than this: bits a byte (random bytes cost 8) plus some for all,
+#: so that a short text isn't judged by a few rare letters.
+REJECT_BITS, REJECT_SLACK = 6.0, 128.0
 
 
 def keep_languages(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -208,7 +210,7 @@ def keep_languages(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, rate = judge(batch.column(batch.schema.get_field_index(text_col)), shared.value)
-            yield batch.filter(pa.array(rate <= REJECT_BITS))
+            _, _, length, sizes = judge(batch.column(batch.schema.get_field_index(text_col)), shared.value)
+            yield batch.filter(pa.array(length <= REJECT_BITS * sizes + REJECT_SLACK))
 
     return docs.mapInArrow(run, docs.schema)
