@@ -109,7 +109,7 @@ def _regroup(out: DataFrame, rows: DataFrame, keyed_digest: DataFrame) -> DataFr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies: of equal texts one row stays, with all its columns."""
     found = exact_dedup(docs, id_col, text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    named = docs.withColumn("__digest", sha256(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    same = named[id_col].cast("long").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__sha"))
-    return named.join(kept, same, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))  # plain equality: the join's partitioning serves the last step too
+    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__digest"))
+    named = docs.withColumns({"__id": key, "__digest": sha256(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))})
+    return named.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
