@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.functions import kernels
+from chunkloom.functions import containers, kernels
 from chunkloom.sources import formats
 
 
@@ -124,3 +124,34 @@ def gzip_text(text: Column) -> Column:
         return s.map(lambda t: gzip.compress(t.encode(), 6, mtime=0))
 
     return pack(text)
+
+
+def container_streams(blobs: DataFrame, id_col: str, data_col: str) -> DataFrame:
+    """id, kind, offset, packed_size, plain_size, exact of the streams inside PNG, ZIP and PDF files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(key, *row) for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in containers.exact_streams(data or b"")]
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "kind", "offset", "packed_size", "plain_size", "exact"])
+
+    return blobs.select(F.col(id_col).cast("long"), F.col(data_col).cast("binary")).mapInArrow(run, "id long, kind string, offset long, packed_size long, plain_size long, exact boolean")
+
+
+def zip_text(text: Column) -> Column:
+    """A ZIP file with the text as its one member (a fixture for the container plans)."""
+    import io
+    import zipfile
+
+    @F.pandas_udf("binary")
+    def pack(s: pd.Series) -> pd.Series:
+        def one(t: str) -> bytes:
+            body = io.BytesIO()
+            with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(zipfile.ZipInfo("a.txt"), t.encode(), zipfile.ZIP_DEFLATED)
+            return body.getvalue()
+
+        return s.map(one)
+
+    return pack(text)

@@ -158,3 +158,10 @@ def base64_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
     d = load(spark, sf_dir, "documents").where("octet_length(text) between 60 and 4000").select("doc_id", F.concat(F.lit("data\n"), b, F.lit("\nend")).alias("data"))
     return structured.base64_parts(d, "doc_id", "data").select("id", F.col("start").cast("int").alias("start"), "stop", "plain_size")
+
+
+@query("zip_streams", 13, 26, sql="SELECT doc_id AS id, 'zip' AS kind, strlen(text) AS plain_size, true AS exact FROM documents WHERE doc_id % 12 = 0 AND strlen(text) > 0")
+def zip_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of ZIP files whose deflate streams zlib reproduces."""
+    d = load(spark, sf_dir, "documents").where("doc_id % 12 = 0 and octet_length(text) > 0").select("doc_id", structured.zip_text(F.col("text")).alias("data"))
+    return structured.container_streams(d, "doc_id", "data").select("id", "kind", "plain_size", "exact")
