@@ -165,3 +165,80 @@ def zip_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of ZIP files whose deflate streams zlib reproduces."""
     d = load(spark, sf_dir, "documents").where("doc_id % 12 = 0 and octet_length(text) > 0").select("doc_id", structured.zip_text(F.col("text")).alias("data"))
     return structured.container_streams(d, "doc_id", "data").select("id", "kind", "plain_size", "exact")
+
+
+@query("blob_source", 1, 99, sql="SELECT page_id AS id, strlen(html) AS size, sha256(html) AS hash FROM pages")
+def blob_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte blobs with their size and content address."""
+    blob = F.encode("html", "UTF-8")
+    return load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.octet_length(blob).cast("long").alias("size"), F.sha2(blob, 256).alias("hash"))
+
+
+@query("meta_upsert", 31, sql="""
+    WITH old AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), new AS (SELECT p_partkey AS k, p_size * 10 AS v FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0), gone AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 = 0)
+    SELECT k, coalesce(new.v, old.v) AS v FROM old FULL JOIN new USING (k) WHERE k NOT IN (SELECT k FROM gone)""")
+def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts and deletes folded into a keyed table in one aggregation: the last writer wins."""
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    log = [
+        p.where("k % 3 <> 0").select("k", "v", F.lit(0).alias("turn"), F.lit(False).alias("gone")),
+        p.where("k % 2 = 0 and k % 5 <> 0").select("k", (F.col("v") * 10).alias("v"), F.lit(1).alias("turn"), F.lit(False).alias("gone")),
+        p.where("k % 5 = 0").select("k", "v", F.lit(2).alias("turn"), F.lit(True).alias("gone")),
+    ]
+    last = log[0].unionByName(log[1]).unionByName(log[2]).groupBy("k").agg(F.max_by(F.struct("v", "gone"), "turn").alias("x"))
+    return last.where("not x.gone").select("k", "x.v")
+
+
+@query("checksums", 100)
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 (built in) and Adler-32 (vectorised) of every document."""
+    import zlib
+
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "crc": b["crc"], "adler": [zlib.adler32(bytes(x)) for x in b["data"]]})
+
+    data = F.encode("text", "UTF-8")
+    return load(spark, sf_dir, "documents").select("doc_id", F.crc32(data).alias("crc"), data.alias("data")).mapInPandas(run, "doc_id long, crc long, adler long")
+
+
+@query("executable_heuristic", 50)
+def executable_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and every tenth of them disguised as machine code."""
+    from chunkloom.functions.kernels import looks_executable
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            code = [looks_executable(bytes(x) if i % 10 else bytes(x).replace(b"e", b"\x00").replace(b"t", b"\xe8", 40)) for i, x in zip(b["doc_id"], b["data"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "executable": code})
+
+    return load(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")).mapInPandas(run, "doc_id long, executable boolean")
+
+
+@query("store_after_put", 122, 145, 63, sql="SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS logical_bytes, 0 AS dangling, 0 AS corrupt FROM documents")
+def store_after_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents put into a fresh store: its statistics and its own check."""
+    from chunkloom.operators.store import Store
+    from chunkloom.plans.streams import shared_folder
+
+    s = Store(spark, shared_folder(spark), 4096)
+    d = load(spark, sf_dir, "documents")
+    s.put(d.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("owner"), F.encode("text", "UTF-8").alias("data")), 1)
+    bad = s.fsck().where("problem in ('dangling', 'corrupt')").groupBy().pivot("problem", ["dangling", "corrupt"]).agg(F.sum("n").cast("int"))
+    return s.stats().select("files", "logical_bytes").join(bad)
+
+
+@query("optimize_report", 133, 127, 126)
+def optimize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkloom.operators.optimize import report
+    from chunkloom.operators.store import Store
+    from chunkloom.plans.streams import shared_folder
+
+    s = Store(spark, shared_folder(spark), 1024)
+    d = load(spark, sf_dir, "documents")
+    s.put(d.select(F.col("doc_id").alias("id"), F.lit("n").alias("name"), F.col("source").alias("owner"), F.encode("text", "UTF-8").alias("data")), 1)
+    return report(s)
