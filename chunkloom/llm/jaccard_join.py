@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import materialize, mix64, partitions, text_slices
+from chunkloom.llm.common import materialize, mix64, partitions, text_slices, trim
 from chunkloom.llm.components import components
 from chunkloom.llm.shingles import set_digest, shingle_sets
 
 #: Jaccard threshold NUMERATOR / DENOMINATOR: 0.75.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Tokens handled together by one task of the token table, and tokens gathered before a flush.
-BUCKET_TOKENS = 6_000_000
-FLUSH_TOKENS = 1_000_000
+BUCKET_TOKENS = 3_000_000
+FLUSH_TOKENS = 500_000
 #: Sets that are linked together in one part, parts each set goes to, and count vectors kept as leaders.
 GROUP_SETS = 2048
 ROUTES = 3
@@ -68,6 +68,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sizes.append(len(tokens))
                     nodes.append(set_digest(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())], ["doc_id", "n_shingles", "node"])
+            trim()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, node binary")
@@ -123,6 +124,7 @@ def token_rows(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
                 if size >= FLUSH_TOKENS:
                     yield flush(held)
                     held, size = [], 0
+                    trim()
         yield flush(held)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, tokens binary")
@@ -154,10 +156,13 @@ def shared_tokens(rows: DataFrame, node_buckets: int) -> DataFrame:
     """Tokens that stand in two sets or more, with their frequency, dealt by node."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        trim()  # what the task before left
         bucket = key[0].as_py()
         nodes, sizes, owner, tokens = _gather(table.select(["nodes", "sizes", "counts", "tokens"]))
+        owner = owner.astype(np.int32)
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
+        del order
         twice = np.zeros(len(tokens), bool)  # an equal set that another partition sent as well
         twice[1:] = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
         tokens, owner = tokens[~twice], owner[~twice]
