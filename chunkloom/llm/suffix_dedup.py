@@ -158,7 +158,8 @@ def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         table = np.concatenate(held, axis=1) if held else np.zeros((6, 0), np.int64)
-        place = (table[4].view(np.uint64) >> np.uint64(40)).astype(np.int64) * buckets >> 24
+        # anchors are minima, so their own high bits would crowd the first bucket
+        place = (mix64(table[4].view(np.uint64)) >> np.uint64(40)).astype(np.int64) * buckets >> 24
         order = np.argsort(place, kind="stable")
         edges = np.searchsorted(place[order], np.arange(buckets + 1))
         full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
