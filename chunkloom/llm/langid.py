@@ -148,14 +148,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Model | None:
     """Train from a bounded, deterministic sample: per language the documents with the smallest id hashes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_DOC_BYTES) & ~held_out(F.col("id")))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    picked: set = set()
+    for lang in sorted(r["lang"] for r in found):  # narrow scans: ids and languages alone
+        first = rows.where(F.col("lang") == lang).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(per_language)
+        picked |= {r["id"] for r in first.collect()}
     samples: dict[str, list[bytes]] = {}
-    for lang in sorted(r["lang"] for r in found):
-        picked = rows.where(F.col("lang") == lang).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(per_language)
-        ids = sorted({r["id"] for r in picked.collect() if r["id"] is not None})
-        texts = rows.where((F.col("lang") == lang) & F.col("id").isin(ids)).orderBy("id", "text").limit(per_language).collect()
-        samples[lang] = [r["text"].encode() for r in texts]
+    fine = F.col("id").isin(sorted(picked)) & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_DOC_BYTES)
+    for r in rows.where(fine).orderBy("id", "lang", "text").limit(per_language * max(1, len(found))).collect():  # one scan of the texts
+        samples.setdefault(r["lang"], []).append(r["text"].encode())
     return train(samples) if samples else None
 
 
