@@ -148,9 +148,19 @@ def sniff_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gzip_recipe", 9, 10, 11, sql="SELECT doc_id AS id, strlen(text) AS plain_size, CAST(6 AS INTEGER) AS level FROM documents WHERE doc_id % 10 = 0 AND strlen(text) > 0")
 def gzip_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gzip files whose deflate stream zlib reproduces exactly, with the parameters found."""
-    d = load(spark, sf_dir, "documents").where("doc_id % 10 = 0 and octet_length(text) > 0").select("doc_id", structured.gzip_text(F.col("text")).alias("data"))
-    return structured.deflate_recipes(d, "doc_id", "data").where("kind = 'gzip' and member = 0").select("id", "plain_size", "level")
+    """Gzip files whose deflate stream zlib reproduces exactly, with the parameters found; of the documents its SQL names."""
+    return _gzip_recipes(load(spark, sf_dir, "documents").where("doc_id % 10 = 0 and octet_length(text) > 0"))
+
+
+@query("gzip_recipe_all", 9, 10, 11)
+def gzip_recipe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gzip_recipe over every document with a text."""
+    return _gzip_recipes(load(spark, sf_dir, "documents").where("text is not null"))
+
+
+def _gzip_recipes(d: DataFrame) -> DataFrame:
+    packed = d.select("doc_id", structured.gzip_text(F.col("text")).alias("data"))
+    return structured.deflate_recipes(packed, "doc_id", "data").where("kind = 'gzip' and member = 0").select("id", "plain_size", "level")
 
 
 @query("base64_regions", 8, 112, sql="SELECT doc_id AS id, 5 AS start, 5 + strlen(base64(encode(text))) AS stop, strlen(text) AS plain_size FROM documents WHERE strlen(text) BETWEEN 60 AND 4000")

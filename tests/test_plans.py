@@ -47,3 +47,15 @@ def test_plans_push_down(spark):
     plan = REGISTRY["owner_isolation"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in plan
     assert "lang" not in plan
+
+
+def every_text():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    return {r["doc_id"]: len(r["text"].encode()) for r in rows if r["text"] is not None}
+
+
+def test_gzip_recipes_of_every_document(spark):
+    got = [tuple(r) for r in REGISTRY["gzip_recipe_all"].run(spark, SF).select("id", "plain_size", "level").collect()]
+    assert sorted(got) == sorted((k, n, 6) for k, n in every_text().items())
