@@ -172,9 +172,19 @@ def base64_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zip_streams", 13, 26, sql="SELECT doc_id AS id, 'zip' AS kind, strlen(text) AS plain_size, true AS exact FROM documents WHERE doc_id % 12 = 0 AND strlen(text) > 0")
 def zip_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of ZIP files whose deflate streams zlib reproduces."""
-    d = load(spark, sf_dir, "documents").where("doc_id % 12 = 0 and octet_length(text) > 0").select("doc_id", structured.zip_text(F.col("text")).alias("data"))
-    return structured.container_streams(d, "doc_id", "data").select("id", "kind", "plain_size", "exact")
+    """Members of ZIP files whose deflate streams zlib reproduces; of the documents its SQL names."""
+    return _zip_streams(load(spark, sf_dir, "documents").where("doc_id % 12 = 0 and octet_length(text) > 0"))
+
+
+@query("zip_streams_all", 13, 26)
+def zip_streams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zip_streams over every document with a text."""
+    return _zip_streams(load(spark, sf_dir, "documents").where("text is not null"))
+
+
+def _zip_streams(d: DataFrame) -> DataFrame:
+    packed = d.select("doc_id", structured.zip_text(F.col("text")).alias("data"))
+    return structured.container_streams(packed, "doc_id", "data").select("id", "kind", "plain_size", "exact")
 
 
 @query("blob_source", 1, 99, sql="SELECT page_id AS id, strlen(html) AS size, sha256(html) AS hash FROM pages")

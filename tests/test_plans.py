@@ -59,3 +59,8 @@ def every_text():
 def test_gzip_recipes_of_every_document(spark):
     got = [tuple(r) for r in REGISTRY["gzip_recipe_all"].run(spark, SF).select("id", "plain_size", "level").collect()]
     assert sorted(got) == sorted((k, n, 6) for k, n in every_text().items())
+
+
+def test_zip_streams_of_every_document(spark):
+    got = [tuple(r) for r in REGISTRY["zip_streams_all"].run(spark, SF).select("id", "kind", "plain_size", "exact").collect()]
+    assert sorted(got) == sorted((k, "zip", n, True) for k, n in every_text().items())
