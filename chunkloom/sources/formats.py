@@ -164,29 +164,72 @@ def parse_text(text: str) -> Grid | None:
 
 
 _RUN = re.compile(rb"[A-Za-z0-9+/]{62,}={0,2}|[A-Za-z0-9_-]{62,}={0,2}")
+#: Wrapped blocks are looked for where a run of 64 characters stands. Their first line has at least 24 characters; later ones may end with padding.
+_LONG = re.compile(rb"[A-Za-z0-9+/_-]{64}")
+_FIRST = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?=\r?\n)")
+_LATER = re.compile(rb"[A-Za-z0-9+/_-]*+={0,2}")
 
 
 def base64_regions(data: bytes, least: int = 64) -> list[tuple[int, int, str, bytes]]:
-    """(start, end, alphabet, decoded) of canonical base64 runs."""
-    out = []
-    for m in _RUN.finditer(data):
-        run = m[0]
-        if len(run) < least or len(run) % 4 and run.endswith(b"="):
-            continue
-        alphabet = "url" if b"-" in run or b"_" in run else "std"
-        if alphabet == "url" and (b"+" in run or b"/" in run):
-            continue
-        body = run.rstrip(b"=")
-        if len(body) % 4 == 1:
-            continue
-        padded = body + b"=" * (-len(body) % 4)
-        try:
-            plain = base64.b64decode(padded, b"-_" if alphabet == "url" else None, validate=True)
-        except binascii.Error:
+    """(start, end, alphabet, decoded) of canonical base64: blocks wrapped at one width, with their line ends, and unbroken runs."""
+    out, at = [], 0
+    for block in [*_wrapped_blocks(data), None]:
+        for m in _RUN.finditer(data, at, block[0] if block else len(data)):
+            found = _canonical(m[0]) if len(m[0]) >= least else None
+            if found:
+                out.append((m.start(), m.end(), *found))
+        if block:
+            out.append(block)
+            at = block[1]
+    return out
+
+
+def _canonical(run: bytes) -> tuple[str, bytes] | None:
+    """Alphabet and decoded bytes, if encoding them again gives the run."""
+    if len(run) % 4 and run.endswith(b"="):
+        return None
+    alphabet = "url" if b"-" in run or b"_" in run else "std"
+    if alphabet == "url" and (b"+" in run or b"/" in run):
+        return None
+    body = run.rstrip(b"=")
+    if len(body) % 4 == 1:
+        return None
+    padded = body + b"=" * (-len(body) % 4)
+    try:
+        plain = base64.b64decode(padded, b"-_" if alphabet == "url" else None, validate=True)
+    except binascii.Error:
+        return None
+    again = base64.b64encode(plain, b"-_" if alphabet == "url" else None)
+    return (alphabet, plain) if again.rstrip(b"=") == body and (run == body or run == again) else None
+
+
+def _wrapped_blocks(data: bytes) -> list[tuple[int, int, str, bytes]]:
+    """Base64 of at least two lines (PEM, MIME): all as wide as the first, the last one perhaps narrower, with one kind of line end."""
+    out, free = [], 0
+    for m in _FIRST.finditer(data) if _LONG.search(data) else ():
+        if m.start() < free:
             continue
-        again = base64.b64encode(plain, b"-_" if alphabet == "url" else None)
-        if again.rstrip(b"=") == body and (run == body or run == again):
-            out.append((m.start(), m.end(), alphabet, plain))
+        width, end = m.end() - m.start(), b"\r\n" if data[m.end()] == 13 else b"\n"
+        lines, at = [m[0]], m.end()
+        while True:
+            at += len(end)
+            line = _LATER.match(data, at)
+            if not line[0]:
+                break
+            if line.end() - at > width:  # no later line before this one can begin a block either
+                lines, free = [], at
+                break
+            lines.append(line[0])
+            at = line.end()
+            if not data.startswith(end, at):
+                break
+            if len(line[0]) < width or line[0].endswith(b"="):
+                at += len(end)
+                break
+        found = _canonical(b"".join(lines)) if len(lines) > 1 else None
+        if found:
+            out.append((m.start(), at, *found))
+            free = at
     return out
 
 

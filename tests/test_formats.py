@@ -94,3 +94,23 @@ def test_codecs_never_expand():
     noise = random.Random(4).randbytes(5000)
     assert kernels.adaptive(noise) == ("raw", 5000) and kernels.best_of(noise) == ("raw", 5000)
     assert kernels.adaptive(b"log line\n" * 20_000)[1] < 2000
+
+
+def test_wrapped_base64_is_one_region():
+    raw = bytes(range(256)) * 3
+    for width, end, code in ((76, b"\r\n", base64.b64encode), (64, b"\n", base64.urlsafe_b64encode), (64, b"\n", lambda x: base64.b64encode(x).rstrip(b"="))):
+        for plain in (raw, raw[:-1], raw[:-2], raw[:96], raw[:144]):
+            body = code(plain)
+            lines = end.join(body[i : i + width] for i in range(0, len(body), width))
+            for head, trail in ((b"-----BEGIN X-----" + end, end + b"-----END X-----"), (b"", b""), (b"x: ", b" y"), (b"\n", end * 2)):
+                if trail.startswith(end + b"-") and len(body) % width == 0:
+                    continue  # dashes are characters of the url alphabet: the line after a full one belongs to the block, in the reference too
+                stop = len(head) + len(lines) + (len(end) if trail.startswith(end) else 0)
+                found = formats.base64_regions(head + lines + trail)
+                assert found == [(len(head), stop, "url" if b"-" in body or b"_" in body else "std", plain)]
+
+
+def test_uneven_lines_are_single_runs():
+    raw = bytes(range(96))
+    a, b = base64.b64encode(raw[:48]), base64.b64encode(raw)
+    assert formats.base64_regions(a + b"\n" + b + b"\n") == [(0, 64, "std", raw[:48]), (65, 193, "std", raw)]

@@ -64,3 +64,8 @@ def test_gzip_recipes_of_every_document(spark):
 def test_zip_streams_of_every_document(spark):
     got = [tuple(r) for r in REGISTRY["zip_streams_all"].run(spark, SF).select("id", "kind", "plain_size", "exact").collect()]
     assert sorted(got) == sorted((k, "zip", n, True) for k, n in every_text().items())
+
+
+def test_base64_regions_of_every_document(spark):
+    got = [tuple(r) for r in REGISTRY["base64_regions_all"].run(spark, SF).select("id", "start", "stop", "plain_size").collect()]
+    assert sorted(got) == sorted((k, 5, 5 + (n + 2) // 3 * 4, n) for k, n in every_text().items() if n >= 46)
