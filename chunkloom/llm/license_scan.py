@@ -2,10 +2,10 @@
 
 Templates (short public licence phrases) are indexed by word: word -> postings (template, position). Two passes
 go over all whole texts. The first counts in how many documents each licence word stands, which gives its IDF.
-The second looks up, per file, the licence words of highest IDF that the file holds; the postings of one
-template are intersected by relative position (place in the file minus place in the template), and a template
-aligned by enough of its rare words is accepted when every one of its mandatory key phrases stands verbatim
-where the alignment puts it. Base phrases are counted at all places, whatever the index says.
+The second looks up, per file and template, the template's words of highest IDF that the file holds, so many that
+no alignment of the least share can miss the votes it needs; the postings of one template are intersected by
+relative position (place in the file minus place in the template), and a template aligned by enough of its rare
+words is accepted when every one of its mandatory key phrases stands verbatim where the alignment puts it. Base phrases are counted at all places, whatever the index says.
 
 Defined results: null text equals empty text, without words or labels and with score 0; places count words from
 0; labels are distinct, sorted and comma-joined, empty without any; score is the best share of an aligned
@@ -48,8 +48,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 ]
-#: Rare words looked up per file, the votes an alignment needs, and how far its places may drift.
-RARE_WORDS = 16
+#: The votes an alignment needs, how far its places may drift, and the share of the template's words that must stand at their places.
 LEAST_VOTES = 2
 DRIFT = 2
 LEAST_SHARE = 0.6
@@ -82,6 +81,11 @@ class RareTokenIndex:
             for q, w in enumerate(words):
                 self.postings.setdefault(w, []).append((t, q))
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.postings}
+        self.rarest = []  # per template: the words that must stand at their places, and each word's places, rarest first
+        for t, (_, words, _) in enumerate(self.templates):
+            least = next(m for m in range(len(words) + 1) if m / len(words) >= LEAST_SHARE)
+            order = sorted(set(words), key=lambda w: (-self.idf[w], w))
+            self.rarest.append((least, [(w, [q for u, q in self.postings[w] if u == t]) for w in order]))
         self.base = [(phrase.split(), label) for phrase, label in BASE.items()]
 
     def scan(self, words: list[str]) -> tuple[list[int], set[str], set[str], float]:
@@ -99,10 +103,17 @@ class RareTokenIndex:
                     base.add(label)
         score, found = 1.0 if base else 0.0, set(base)
         votes: dict[tuple[int, int], set[int]] = {}
-        for w in sorted((w for w in at if w in self.postings), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]:
-            for t, q in self.postings[w]:
-                for p in at[w]:
-                    votes.setdefault((t, p - q), set()).add(q)
+        for t, (least, rarest) in enumerate(self.rarest):
+            present = [(w, places) for w, places in rarest if w in at]
+            wrong = sum(len(places) for _, places in present) - least  # so many of these places may not fit
+            looked = 0
+            for w, places in present if wrong >= 0 else ():
+                if looked >= wrong + LEAST_VOTES:
+                    break
+                looked += len(places)
+                for q in places:
+                    for p in at[w]:
+                        votes.setdefault((t, p - q), set()).add(q)
         for (t, shift), seen in votes.items():
             label, template, phrases = self.templates[t]
             if len(seen) < min(LEAST_VOTES, len(template)):

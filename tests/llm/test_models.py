@@ -139,6 +139,40 @@ def test_licences(spark):
     assert license_scan.license_scan(docs.limit(0)).count() == 0
 
 
+def every_alignment(words):
+    """Labels and best share of all templates at all places."""
+    found, best = set(), 0.0
+    for label, body, phrases in license_scan.TEMPLATES:
+        t = body.split()
+        for shift in range(1 - len(t), len(words)):
+            share = sum(0 <= shift + q < len(words) and words[shift + q] == w for q, w in enumerate(t)) / len(t)
+            if share >= license_scan.LEAST_SHARE and all(license_scan.RareTokenIndex._stands(words, t, shift, p.split()) for p in phrases):
+                found.add(label)
+                best = max(best, share)
+    return found, best
+
+
+def test_no_licence_hides_another():
+    import random
+
+    r = random.Random(7)
+    bodies = [body.split() for _, body, _ in license_scan.TEMPLATES]
+    frequencies = [{}, {w: 900 for w in bodies[5]}, {w: r.randrange(1000) for w in license_scan.VOCABULARY}]
+    for frequency in frequencies:
+        index = license_scan.RareTokenIndex(frequency, 1000)
+        texts = [[w for body in bodies for w in [*body, "x"]]]
+        for _ in range(40):
+            text = []
+            for body in r.sample(bodies, r.randrange(1, 9)):
+                text += [w if r.random() > 0.15 else r.choice(license_scan.VOCABULARY) for w in body] + r.choices(license_scan.VOCABULARY, k=r.randrange(6))
+            texts.append(text)
+        for text in texts:
+            _, base, labels, score = index.scan(text)
+            found, best = every_alignment(text)
+            assert labels == found | base and score == (1.0 if base else best)
+        assert {"gpl", "lgpl", "mpl-2", "unlicense", "isc", "bsd", "cc-by"} <= index.scan(texts[0])[2]
+
+
 def brute_knn(rows, k, every):
     fine = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     out = []
