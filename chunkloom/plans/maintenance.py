@@ -150,7 +150,20 @@ def star_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {META_SQL}, kids AS (SELECT base AS chunk, count(*) AS n FROM meta WHERE base IS NOT NULL GROUP BY 1)
     SELECT m.chunk, k.n AS kids FROM meta m JOIN kids k USING (chunk) WHERE m.compression = 'delta' AND m.ref_count = k.n""")
 def zombie_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = chunk_meta(spark, sf_dir)
+    return _zombies(chunk_meta(spark, sf_dir))
+
+
+@query("zombie_chunks_mixed", 70)
+def zombie_chunks_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zombies(_mixed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk metadata with reference counts that don't depend on the representation: deltas are dead and zombies too."""
+    return chunk_meta(spark, sf_dir).withColumn("ref_count", F.floor(F.col("chunk") / 8) % 4)
+
+
+def _zombies(m: DataFrame) -> DataFrame:
     kids = m.where("base is not null").groupBy(F.col("base").alias("chunk")).agg(F.count(F.lit(1)).alias("kids"))
     return m.where("compression = 'delta'").join(kids, "chunk").where("ref_count = kids").select("chunk", "kids")
 
@@ -161,7 +174,15 @@ def zombie_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chunk, onto, children, growth, freed FROM g WHERE growth < freed""")
 def zombie_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children move to the grandparent where their growth (an eighth of each here) is less than what the zombie takes."""
-    m = chunk_meta(spark, sf_dir)
+    return _rescues(chunk_meta(spark, sf_dir))
+
+
+@query("zombie_rescue_mixed", 125)
+def zombie_rescue_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rescues(_mixed(spark, sf_dir))
+
+
+def _rescues(m: DataFrame) -> DataFrame:
     child = m.where("base is not null").select(F.col("base").alias("of"), F.floor(F.col("stored_size") / 8).alias("more"))
     grown = child.groupBy("of").agg(F.count(F.lit(1)).alias("children"), F.sum("more").alias("growth"))
     z = m.where("compression = 'delta'").join(grown, (F.col("chunk") == F.col("of")) & (F.col("ref_count") == F.col("children")))
@@ -275,16 +296,31 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION SELECT m.base FROM dead d JOIN meta m ON m.chunk = d.chunk JOIN meta b ON b.chunk = m.base WHERE m.base IS NOT NULL AND b.ref_count <= 1)
     SELECT DISTINCT chunk FROM dead""")
 def cascade_to_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Released deltas release a base that only they held; repeated to a fixpoint along the bounded chain depth."""
-    m = chunk_meta(spark, sf_dir).select("chunk", "base", "ref_count")
+    """Released deltas release a base that only they held; repeated to a fixpoint."""
+    return _dead(chunk_meta(spark, sf_dir))
+
+
+@query("cascade_to_bases_mixed", 124, 57)
+def cascade_to_bases_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dead(_mixed(spark, sf_dir))
+
+
+def _dead(m: DataFrame) -> DataFrame:
+    """Rounds until no further chunk dies, however deep the chains; each round's chunks are written to the shared folder."""
+    from chunkloom.plans.streams import shared_folder
+
+    spark, at, rounds = m.sparkSession, shared_folder(m.sparkSession), []
+    m = m.select("chunk", "base", "ref_count")
     weak = m.where("ref_count <= 1").select(F.col("chunk").alias("b_chunk"))
     step = m.where("base is not null").join(weak, F.col("base") == F.col("b_chunk")).select("chunk", "base")
-    dead = m.where("ref_count = 0").select("chunk")
-    frontier = dead
-    for _ in range(8):  # chunk numbers shrink to a third along a chain: more rounds than any chain has
-        frontier = frontier.join(step, "chunk").select(F.col("base").alias("chunk"))
-        dead = dead.union(frontier)
-    return dead.distinct()
+    frontier = m.where("ref_count = 0").select("chunk").distinct()
+    while True:
+        rounds.append(f"{at}/{len(rounds)}")
+        frontier.write.parquet(rounds[-1])
+        frontier, dead = spark.read.parquet(rounds[-1]), spark.read.parquet(*rounds)
+        if frontier.isEmpty():
+            return dead
+        frontier = frontier.join(step, "chunk").select(F.col("base").alias("chunk")).distinct().join(dead, "chunk", "left_anti")
 
 
 @query("fsck_report", 131, sql=f"""

@@ -69,3 +69,40 @@ def test_zip_streams_of_every_document(spark):
 def test_base64_regions_of_every_document(spark):
     got = [tuple(r) for r in REGISTRY["base64_regions_all"].run(spark, SF).select("id", "start", "stop", "plain_size").collect()]
     assert sorted(got) == sorted((k, 5, 5 + (n + 2) // 3 * 4, n) for k, n in every_text().items() if n >= 46)
+
+
+def mixed_meta(spark):
+    """chunk -> (base, ref_count, stored_size) with reference counts that don't depend on the representation."""
+    from chunkloom.sources.catalog import chunk_meta
+
+    return {r["chunk"]: (r["base"], r["chunk"] // 8 % 4, r["stored_size"]) for r in chunk_meta(spark, SF).collect()}
+
+
+def test_dead_deltas_release_their_bases(spark):
+    meta = mixed_meta(spark)
+    dead = todo = {c for c, (_, n, _) in meta.items() if n == 0}
+    while todo:
+        todo = {meta[c][0] for c in todo if meta[c][0] in meta and meta[meta[c][0]][1] <= 1} - dead
+        dead = dead | todo
+    got = [r["chunk"] for r in REGISTRY["cascade_to_bases_mixed"].run(spark, SF).collect()]
+    assert sorted(got) == sorted(dead) and len(dead) > sum(n == 0 for _, n, _ in meta.values())
+
+
+def test_cascades_have_no_depth_limit(spark):
+    from chunkloom.plans.maintenance import _dead
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 0 if i == 14 else 1) for i in range(15)] + [(20, 21, 0), (21, 20, 1)], "chunk long, base long, ref_count long")
+    assert sorted(r["chunk"] for r in _dead(chain).collect()) == [*range(15), 20, 21]
+
+
+def test_zombies(spark):
+    meta = mixed_meta(spark)
+    kids = {}
+    for base, _, size in meta.values():
+        if base is not None:
+            kids.setdefault(base, []).append(size)
+    want = {(c, len(k)) for c, k in kids.items() if c in meta and c % 8 == 3 and meta[c][1] == len(k)}
+    assert {tuple(r) for r in REGISTRY["zombie_chunks_mixed"].run(spark, SF).select("chunk", "kids").collect()} == want != set()
+    grown = {(c, meta[c][0], n, sum(s // 8 for s in kids[c]), meta[c][2]) for c, n in want}
+    want = {r for r in grown if r[3] < r[4]}
+    assert {tuple(r) for r in REGISTRY["zombie_rescue_mixed"].run(spark, SF).select("chunk", "onto", "children", "growth", "freed").collect()} == want != set()
