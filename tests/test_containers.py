@@ -51,3 +51,17 @@ def test_optimisation_finds_deltas_and_skips_what_was_tried(spark, tmp_path):
     assert first["deltas"]["chunks"] > 0 and first["deltas"]["after"] < first["deltas"]["before"] / 2
     tried = optimize.plan(s)["tried"]
     assert {r["chunks"] for r in optimize.report(s, tried).collect()} == {0}
+
+
+def test_new_chunks_find_stored_ones_and_regions_are_reported(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store", 4096)
+    rows = [(i, f"g{i}", "o", g) for i, g in enumerate(generators.generations(generators.noise(60_000), 2, 0.01))]
+    s.put(spark.createDataFrame(rows[:1], "id long, name string, owner string, data binary"), 1)
+    tried = spark.createDataFrame([tuple(r) for r in optimize.plan(s)["tried"].collect()], "hash string")
+    s.put(spark.createDataFrame(rows[1:], "id long, name string, owner string, data binary"), 2)
+    new = s.read("chunks").select("hash").join(tried, "hash", "left_anti").count()
+    deltas = optimize.plan(s, tried)["deltas"].collect()
+    stored = {r["hash"] for r in tried.collect()}
+    assert new and len(deltas) > new / 2 and all(r["hash"] not in stored for r in deltas) and stored & {r["base"] for r in deltas}
+    report = {r["pass"]: r for r in optimize.report(s).collect()}
+    assert report["regions"]["chunks"] == report["codecs"]["chunks"] > 0 and report["regions"]["before"] == report["codecs"]["before"] >= report["regions"]["after"] > 0
