@@ -114,3 +114,21 @@ def test_uneven_lines_are_single_runs():
     raw = bytes(range(96))
     a, b = base64.b64encode(raw[:48]), base64.b64encode(raw)
     assert formats.base64_regions(a + b"\n" + b + b"\n") == [(0, 64, "std", raw[:48]), (65, 193, "std", raw)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"\xe8", b"\xe9", b"\0", b"\xff", b"abc"]), max_size=60))
+def test_calls_are_rewritten_and_given_back(parts):
+    data = b"".join(parts)
+    assert kernels.bcj(kernels.bcj(data), True) == data
+
+
+def test_machine_code_is_packed_with_absolute_calls():
+    import random
+
+    assert kernels.bcj(b"\x90\xe8\x01\x00\x00\x00\xe9\xff") == b"\x90\xe8\x07\x00\x00\x00\xe9\xff"
+    r, code = random.Random(5), bytearray()
+    for _ in range(3000):
+        code += r.randbytes(24) + bytes(4)
+        code += b"\xe8" + ((r.choice((64, 4096, 9000)) - len(code) - 5) & 0xFFFFFFFF).to_bytes(4, "little")
+    assert kernels.looks_executable(bytes(code)) and kernels.best_of(bytes(code))[0] == "zstd-bcj"
