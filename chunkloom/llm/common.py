@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local session may do without: one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="chunkloom-"))
         at = _own[0]
@@ -62,14 +65,47 @@ def release() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    free: have the shuffle files of the finished job removed now rather than at the driver's next full collection.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        drop_path(table.sparkSession, path)
+
+
+#: Bits of a key filter: 8 MB however many keys it holds; fuller filters let more rows through, and none is lost.
+FILTER_BITS = 1 << 26
+_PER_ROW = 1 << 15
+
+
+def key_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap over 64-bit keys as a written table of at most FILTER_BITS / 32768 rows of 4 KB."""
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    placed = keys.select(place.alias("place")).select((F.col("place") / _PER_ROW).cast("long").alias("part"), F.pmod("place", F.lit(_PER_ROW)).alias("bit"))
+    return materialize(placed.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), "key-filter")
+
+
+def maybe_in(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`: false where the key is not among the filter's, true where it may be."""
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    bit = F.pmod(place, F.lit(_PER_ROW)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bitmap), (place / _PER_ROW).cast("long") == F.col("part"), "left")
+    return joined.withColumn(name, F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8))) % 2 == 1, F.lit(False))).drop("part", "bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -160,6 +196,40 @@ def byte_values(seed: int) -> np.ndarray:
     return _TABLES[key]
 
 
+class KeyTable:
+    """Open-addressing hash table from non-negative 64-bit keys to their row numbers, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.rows = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            self.keys[slot[free]] = keys[free]
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.rows[slot[won]] = won
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        slot = self._slot(keys)
+        at = self.keys[slot]
+        out = np.where(at == keys, self.rows[slot], -1)
+        todo = np.flatnonzero((at != keys) & (at >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            at = self.keys[slot[todo]]
+            hit = at == keys[todo]
+            out[todo[hit]] = self.rows[slot[todo[hit]]]
+            todo = todo[~hit & (at >= 0)]
+        return out
+
+
 BASE, INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 
