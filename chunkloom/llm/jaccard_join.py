@@ -1,50 +1,70 @@
 """Exact n-gram Jaccard join by set-relation skipping, reported as connected components.
 
-1. Every text becomes its set of word shingles; equal sets are one node (a 128-bit digest).
-2. A token table, dealt by token, finds the tokens that stand in two sets or more. Only those can be in an
-   intersection, so a set lives on if at least three quarters of its tokens are such, and only those tokens of
-   it are kept (in the order rarest first) together with its full size.
+1. Every text becomes its set of word shingles (64-bit tokens); equal sets are one node (a 128-bit digest). Sets
+   are numbered inside blocks of at most BLOCK_SETS, so that a token costs about eight bytes in the one exchange
+   that all tokens take, however many buckets there are.
+2. A token table, dealt by token, finds the tokens that stand in two sets or more; copies of an equal set in other
+   blocks are taken off again once the sets are gathered by node. Only shared tokens can be in an intersection,
+   so a set lives on if at least three quarters of its tokens are shared, and only those tokens of it are kept
+   (rarest first) together with its full size.
 3. Linking: every live set goes, with its tokens, to a few of its prefix tokens' lists; lists longer than
    GROUP_SETS are dealt over salted parts. Inside a part the join is exact and skips: index lists are cut by
    position (sets in order of size), sets in one component are not compared again, a set's overlaps are
    derived from those of a highly similar set by the tokens in which the two differ, and the triangle
    inequality of the Jaccard distance skips sets that a common leader tells apart.
 4. What remains: sets that share a prefix token, pass the size and position filters, stand in different
-   components and met in no part. The set in the smaller component visits the larger component, whose members
-   are dealt over parts of bounded size; a visitor counts its overlaps with a whole part in one pass. Pairs
+   components and met in no part. Prefix tokens whose holders are all in one component drop out first. The set
+   in the smaller component visits the larger component, whose members are dealt over parts of bounded size; a
+   visitor counts its overlaps with a whole part in one pass. On a token that more than GROUP_SETS sets hold
+   every set outside the token's largest component visits that one, and the rest meet block by block. Pairs
    are never emitted. No link between different texts is lost, because two linked sets share a prefix
    token, and two sets that do are either compared, or already connected, or shown to be unlinked by an exact
    bound.
 
+Tokens are told apart by 64 bits and compared only between two sets at a time: with sets of 500 tokens that
+goes wrong once in about 10^14 comparisons. A clash of tokens over the whole corpus makes a token look shared,
+which costs time and changes nothing.
+
 Defined results: null or empty text, or text without words, has an empty set, no links and its own id as
 component; text with fewer than five words is one shingle; equal texts share a component; a null id takes the
-smallest id it is linked with; repeated rows are reported once each.
+smallest id it is linked with; repeated rows are reported once each; very long texts are one set like any
+other; an empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import materialize, mix64, partitions, text_slices, trim
+from chunkloom.llm.common import drop_table, materialize, mix64, text_slices, trim
 from chunkloom.llm.components import components
 from chunkloom.llm.shingles import set_digest, shingle_sets
 
 #: Jaccard threshold NUMERATOR / DENOMINATOR: 0.75.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Tokens handled together by one task of the token table, and tokens gathered before a flush.
+#: Tokens handled together by one task of the token table and of the later steps, sets of a block, and tokens after which a block is closed early.
 BUCKET_TOKENS = 3_000_000
-FLUSH_TOKENS = 500_000
+GROUP_TOKENS = 1_000_000
+BLOCK_SETS = 256
+BLOCK_TOKENS = 500_000
+#: Bytes of text that give one token at least, to size the token table; buckets that small inputs have.
+TOKEN_BYTES = 6
+LEAST_BUCKETS = 12
 #: Sets that are linked together in one part, parts each set goes to, and count vectors kept as leaders.
 GROUP_SETS = 2048
 ROUTES = 3
 LEADERS = 8
 #: Digests remembered in a partition to send equal sets once.
 SEEN_SETS = 400_000
+#: Rows up to which a narrow table (under 64 bytes a row) is broadcast; larger ones are joined by an exchange.
+BROADCAST_ROWS = 100_000
+
+TOKENS, SETS, ROWS = 0, 1, 2
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -57,156 +77,172 @@ def least_shared(n: np.ndarray | int) -> np.ndarray | int:
     return -(-(NUMERATOR * n) // DENOMINATOR)
 
 
-def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) of every row."""
+def pack_tokens(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending tokens as their low 48 bits and the steps of their high 16 bits (mostly 0 or 1, so they compress)."""
+    high = (tokens >> np.uint64(48)).astype(np.int64)
+    low = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((tokens >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    return low, np.diff(high, prepend=0).astype("<u2").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes = [], []
-            for texts in text_slices(batch.column(1)):
-                for tokens in shingle_sets(texts):
-                    sizes.append(len(tokens))
-                    nodes.append(set_digest(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())], ["doc_id", "n_shingles", "node"])
-            trim()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, node binary")
+def unpack_tokens(low: bytes, steps: bytes) -> np.ndarray:
+    n = len(low) // 6
+    tokens = np.frombuffer(low, "<u4", n).astype(np.uint64) | np.frombuffer(low, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return tokens | np.cumsum(np.frombuffer(steps, "<u2"), dtype=np.uint64) << np.uint64(48)
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """The low 48 bits of tokens; the high bits decide the bucket, so little is lost, and nothing where it counts."""
-    return (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((tokens >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return np.frombuffer(blob, "<u4", n).astype(np.uint64) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+BLOCK_SCHEMA = "place int, kind int, block long, a binary, b binary, c binary, d binary"
+BLOCK_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
 
-def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def _batch(rows: list[tuple]) -> list[pa.Array]:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(BLOCK_NAMES)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+
 
+def token_rows(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Packed rows of three kinds, all from one pass over the texts.
 
-def token_rows(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """Packed rows of (bucket, nodes, sizes, tokens a node, tokens): each set once a partition."""
+    TOKENS: of one block and bucket, the tokens in order with the set's number in the block. SETS: digest and
+    size of a block's sets, each set once a partition. ROWS: id, mark (hash of the text), size and digest of every row.
+    """
 
-    def flush(held: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        counts = np.array([len(t) for _, t in held], np.int64)
-        tokens = np.concatenate([t for _, t in held]) if held else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(held)), counts)
-        place = _bucket(tokens, buckets)
-        order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], np.arange(buckets + 1))
-        nodes = np.frombuffer(b"".join(n for n, _ in held), "V16") if held else np.zeros(0, "V16")
+    def close(held: list[tuple[bytes, np.ndarray]], seen_rows: list[tuple]) -> list[tuple]:
+        nodes = b"".join(node for node, _ in held)
+        block = int.from_bytes(hashlib.blake2b(nodes, digest_size=8).digest(), "little", signed=True)
+        home = block % buckets
         out: list[tuple] = []
-        for b in range(buckets):
-            part = order[edges[b] : edges[b + 1]]
-            if len(part):
-                rows, n = np.unique(owner[part], return_counts=True)
-                out.append((b, nodes[rows].tobytes(), counts[rows].astype("<u4").tobytes(), n.astype("<u4").tobytes(), _pack(tokens[part])))
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "nodes", "sizes", "counts", "tokens"])
+        if held:
+            counts = np.array([len(t) for _, t in held], np.int64)
+            tokens = np.concatenate([t for _, t in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], np.repeat(np.arange(len(held)), counts)[order].astype(np.uint8)
+            edges = np.searchsorted(_bucket(tokens, buckets), np.arange(buckets + 1)).tolist()
+            for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
+                if e > s:
+                    out.append((b, TOKENS, block, owner[s:e].tobytes(), *pack_tokens(tokens[s:e]), b""))
+            out.append((home, SETS, block, nodes, counts.astype("<u4").tobytes(), b"", b""))
+        if seen_rows:
+            ids, marks, sizes, digests = zip(*seen_rows, strict=True)
+            known = np.array([i is not None for i in ids], np.uint8)
+            out.append((home, ROWS, block, np.array([i or 0 for i in ids], "<i8").tobytes() + known.tobytes(), np.array(marks, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(d or bytes(16) for d in digests)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        held, size = [], 0
+        held: list[tuple[bytes, np.ndarray]] = []
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                for tokens in shingle_sets(texts):
-                    if not len(tokens) or (node := set_digest(tokens)) in seen:
+            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for texts in text_slices(batch.column(2)):
+                for i, tokens in enumerate(shingle_sets(texts), texts.first):
+                    node = set_digest(tokens) if len(tokens) else None
+                    rows.append((ids[i], marks[i], len(tokens), node))
+                    if node is None or node in seen:
                         continue
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(node)
                     held.append((node, tokens))
                     size += len(tokens)
-                if size >= FLUSH_TOKENS:
-                    yield flush(held)
-                    held, size = [], 0
-                    trim()
-        yield flush(held)
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, tokens binary")
-
-
-def _gather(rows: pa.Table, with_frequency: bool = False) -> tuple[np.ndarray, ...]:
-    """nodes, sizes, owner of each token, tokens (and their frequencies) of packed rows, equal nodes made one."""
-    blobs = {c: rows.column(c).to_pylist() for c in rows.column_names}
-    nodes = np.frombuffer(b"".join(blobs["nodes"]), "V16")
-    sizes = np.frombuffer(b"".join(blobs["sizes"]), "<u4").astype(np.int64)
-    counts = np.frombuffer(b"".join(blobs["counts"]), "<u4").astype(np.int64)
-    if with_frequency:
-        tokens = np.frombuffer(b"".join(blobs["tokens"]), "<u8")
-    else:
-        tokens = np.concatenate([_unpack(b) for b in blobs["tokens"]]) if blobs["tokens"] else np.zeros(0, np.uint64)
-    pair = nodes.view("<u8").reshape(-1, 2)
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (pair[order[1:]] != pair[order[:-1]]).any(1)
-    name = np.empty(len(order), np.int64)
-    name[order] = np.cumsum(fresh) - 1
-    keep = order[fresh]
-    owner = np.repeat(name, counts)
-    rest = (np.frombuffer(b"".join(blobs["frequency"]), "<u4").astype(np.int64),) if with_frequency else ()
-    return nodes[keep], sizes[keep], owner, tokens, *rest
-
-
-def shared_tokens(rows: DataFrame, node_buckets: int) -> DataFrame:
-    """Tokens that stand in two sets or more, with their frequency, dealt by node."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        trim()  # what the task before left
-        bucket = key[0].as_py()
-        nodes, sizes, owner, tokens = _gather(table.select(["nodes", "sizes", "counts", "tokens"]))
-        owner = owner.astype(np.int32)
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        del order
-        twice = np.zeros(len(tokens), bool)  # an equal set that another partition sent as well
-        twice[1:] = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
-        tokens, owner = tokens[~twice], owner[~twice]
-        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
-        frequency = np.repeat(np.diff(edge), np.diff(edge))
-        keep = frequency > 1
-        tokens = tokens[keep] | np.uint64(bucket & 0xFFFF) << np.uint64(48)
-        owner, frequency = owner[keep], frequency[keep]
-        order = np.argsort(owner, kind="stable")
-        tokens, owner, frequency = tokens[order], owner[order], frequency[order]
-        rows_, first, n = np.unique(owner, return_index=True, return_counts=True)
-        place = (nodes[rows_].view("<u8").reshape(-1, 2)[:, 0] % np.uint64(node_buckets)).astype(np.int64) if len(rows_) else rows_
-        out = []
-        for b in np.unique(place).tolist():
-            mine = np.flatnonzero(place == b)
-            at = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in mine])
-            out.append((b, nodes[rows_[mine]].tobytes(), sizes[rows_[mine]].astype("<u4").tobytes(), n[mine].astype("<u4").tobytes(), tokens[at].astype("<u8").tobytes(), frequency[at].astype("<u4").tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["place", "nodes", "sizes", "counts", "tokens", "frequency"])
+                    if size >= BLOCK_TOKENS or len(held) == BLOCK_SETS:
+                        yield pa.RecordBatch.from_arrays(_batch(close(held, rows)), BLOCK_NAMES)
+                        held, rows, size = [], [], 0
+            trim()
+        yield pa.RecordBatch.from_arrays(_batch(close(held, rows)), BLOCK_NAMES)
+
+    mark = F.xxhash64(F.col(text_col))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _first_of(blocks: np.ndarray, rows: np.ndarray) -> list[int]:
+    """Of these rows the first of each block: blocks of equal content are one block."""
+    return rows[np.sort(np.unique(blocks[rows], return_index=True)[1])].tolist()
 
-    return rows.groupBy("bucket").applyInArrow(run, "place int, nodes binary, sizes binary, counts binary, tokens binary, frequency binary")
 
+def shared_tokens(rows: DataFrame, buckets: int) -> DataFrame:
+    """Tokens that stand in two sets of the blocks or more, with their frequency, dealt by block; other rows pass through."""
 
-def live_sets(shared: DataFrame) -> DataFrame:
-    """node, n, tokens, frequency of the sets that can have a partner; tokens rarest first."""
+    def run(table: pa.Table) -> pa.Table:
+        trim()  # what the task before left
+        kind, block = table.column("kind").to_numpy(), table.column("block").to_numpy()
+        a, b, c, d = (table.column(x).to_pylist() for x in "abcd")
+        out = [(int(block[i]) % buckets, int(kind[i]), int(block[i]), a[i], b[i], c[i], d[i]) for i in np.flatnonzero(kind != TOKENS).tolist()]
+        mine = _first_of(block, np.flatnonzero(kind == TOKENS))
+        if mine:
+            tokens = np.concatenate([unpack_tokens(b[i], c[i]) for i in mine])
+            counts = np.array([len(a[i]) for i in mine])
+            owner = np.repeat(np.arange(len(mine), dtype=np.int32), counts) << 8 | np.frombuffer(b"".join(a[i] for i in mine), np.uint8)
+            del a, b, c, d
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            del order
+            edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+            frequency = np.repeat(np.diff(edge), np.diff(edge))
+            keep = frequency > 1
+            tokens, owner, frequency = tokens[keep], owner[keep], frequency[keep]
+            order = np.argsort(owner >> 8, kind="stable")  # by block, tokens in order
+            tokens, owner, frequency = tokens[order], owner[order], frequency[order]
+            edges = np.searchsorted(owner >> 8, np.arange(len(mine) + 1)).tolist()
+            for i, s, e in zip(mine, edges, edges[1:], strict=False):
+                if e > s:
+                    out.append((int(block[i]) % buckets, TOKENS, int(block[i]), (owner[s:e] & 255).astype(np.uint8).tobytes(), *pack_tokens(tokens[s:e]), frequency[s:e].astype("<u4").tobytes()))
+        return pa.Table.from_arrays(_batch(out), BLOCK_NAMES)
+
+    return rows.groupBy("place").applyInArrow(run, BLOCK_SCHEMA)
+
+
+def gathered_sets(shared: DataFrame) -> DataFrame:
+    """Rows of docs (kind ROWS: doc_id, mark, n, node) and sets that can have a partner (kind SETS: node, n, tokens, frequency)."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, sizes, owner, tokens, frequency = _gather(table.select(["nodes", "sizes", "counts", "tokens", "frequency"]), True)
-        order = np.lexsort((tokens, frequency, owner))
-        tokens, owner, frequency = tokens[order], owner[order], frequency[order]
-        edges = np.searchsorted(owner, np.arange(len(nodes) + 1))
-        live = np.flatnonzero(np.diff(edges) >= least_shared(sizes))
-        cut = [slice(edges[i], edges[i + 1]) for i in live]
-        return pa.Table.from_arrays(
-            [
-                pa.array([nodes[i].tobytes() for i in live], pa.binary()),
-                pa.array(sizes[live], pa.int64()),
-                pa.array([tokens[c].astype("<u8").tobytes() for c in cut], pa.binary()),
-                pa.array([frequency[c].astype("<u4").tobytes() for c in cut], pa.binary()),
-            ],
-            names=["node", "n", "tokens", "frequency"],
-        )
-
-    return shared.groupBy("place").applyInArrow(run, "node binary, n long, tokens binary, frequency binary")
+        trim()
+        kind, block = table.column("kind").to_numpy(), table.column("block").to_numpy()
+        a, b, c, d = (table.column(x).to_pylist() for x in "abcd")
+        parts: list[pa.Table] = []
+        names = ["kind", "doc_id", "mark", "n", "node", "tokens", "frequency"]
+        for i in np.flatnonzero(kind == ROWS).tolist():
+            m = len(a[i]) // 9
+            ids = pa.array(np.frombuffer(a[i], "<i8", m), mask=np.frombuffer(a[i], np.uint8, m, 8 * m) == 0)
+            sizes = np.frombuffer(c[i], "<u4").astype(np.int64)
+            nodes = pa.array([d[i][16 * j : 16 * j + 16] if sizes[j] else None for j in range(m)], pa.binary())
+            nothing = pa.nulls(m, pa.binary())
+            parts.append(pa.Table.from_arrays([pa.array(np.full(m, ROWS, np.int32)), ids, pa.array(np.frombuffer(b[i], "<i8")), pa.array(sizes), nodes, nothing, nothing], names))
+        sets = _first_of(block, np.flatnonzero(kind == SETS))
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(kind == TOKENS).tolist():
+            found.setdefault(int(block[i]), []).append(i)
+        for s in sets:
+            rows = found.get(int(block[s]), [])
+            if not rows:
+                continue
+            sizes = np.frombuffer(b[s], "<u4").astype(np.int64)
+            owner = np.frombuffer(b"".join(a[i] for i in rows), np.uint8)
+            tokens = np.concatenate([unpack_tokens(b[i], c[i]) for i in rows])
+            frequency = np.frombuffer(b"".join(d[i] for i in rows), "<u4")
+            order = np.lexsort((tokens, frequency, owner))
+            tokens, owner, frequency = tokens[order], owner[order], frequency[order]
+            edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            live = np.flatnonzero(np.diff(edges) >= least_shared(sizes))
+            cut = [slice(edges[i], edges[i + 1]) for i in live]
+            m = len(live)
+            columns = [
+                pa.array(np.full(m, SETS, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(sizes[live]),
+                pa.array([a[s][16 * i : 16 * i + 16] for i in live.tolist()], pa.binary()),
+                pa.array([tokens[x].astype("<u8").tobytes() for x in cut], pa.binary()),
+                pa.array([frequency[x].astype("<u4").tobytes() for x in cut], pa.binary()),
+            ]
+            parts.append(pa.Table.from_arrays(columns, names))
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("tokens", pa.binary()), ("frequency", pa.binary())])
+        return pa.concat_tables([p.cast(schema) for p in parts]) if parts else schema.empty_table()
+
+    return shared.groupBy("place").applyInArrow(run, "kind int, doc_id long, mark long, n long, node binary, tokens binary, frequency binary")
 
 
 def prefix_of(n: int, shared: int) -> int:
@@ -227,6 +263,39 @@ def routes_of(node: bytes, n: int, tokens: np.ndarray, frequency: np.ndarray) ->
     return list(dict.fromkeys(out))
 
 
+def live_sets(gathered: DataFrame, groups: int) -> DataFrame:
+    """node, n, tokens (rarest first), heavy (prefix tokens in more than GROUP_SETS sets), routes: each set once.
+
+    A set that came from several blocks counted its own copies as holders of its tokens; they are taken off, and
+    the set lives only if enough of its tokens stand in other sets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        nodes, sizes = table.column("node").to_pylist(), table.column("n").to_numpy()
+        tokens, frequency = table.column("tokens").to_pylist(), table.column("frequency").to_pylist()
+        copies: dict[bytes, int] = {}
+        first: dict[bytes, int] = {}
+        for i, node in enumerate(nodes):
+            copies[node] = copies.get(node, 0) + 1
+            first.setdefault(node, i)
+        out = []
+        for node, i in first.items():
+            t, f = np.frombuffer(tokens[i], "<u8"), np.frombuffer(frequency[i], "<u4")
+            others = f > copies[node]
+            t, f = t[others], f[others]
+            if len(t) < least_shared(int(sizes[i])):
+                continue
+            m = prefix_of(int(sizes[i]), len(t))
+            out.append((node, int(sizes[i]), t.tobytes(), int((f[:m] > GROUP_SETS).sum()), routes_of(node, int(sizes[i]), t, f)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "tokens", "heavy", "routes"])
+
+    dealt = gathered.select("node", "n", "tokens", "frequency").groupBy(F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g"))
+    return dealt.applyInArrow(run, "node binary, n long, tokens binary, heavy int, routes array<long>")
+
+
 class Part:
     """Exact links inside one list of sets, with skipping."""
 
@@ -299,17 +368,8 @@ class Part:
 def part_links(live: DataFrame, groups: int) -> DataFrame:
     """Edges a, b found inside the parts."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, part = [], []
-            for i, (node, n, tokens, frequency) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-                for key in routes_of(node, n, np.frombuffer(tokens, "<u8"), np.frombuffer(frequency, "<u4")):
-                    row.append(i)
-                    part.append(key)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(batch.column(c).take(take) for c in range(3))], ["part", "node", "n", "tokens"])
-
     def link(table: pa.Table) -> pa.Table:
+        trim()
         part = table.column("part").to_numpy()
         nodes, sizes, blobs = table.column("node").to_pylist(), table.column("n").to_numpy(), table.column("tokens").to_pylist()
         order = np.argsort(part, kind="stable")
@@ -323,92 +383,128 @@ def part_links(live: DataFrame, groups: int) -> DataFrame:
                     b.append(nodes[rows[j]])
         return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    sent = live.select("node", "n", "tokens", "frequency").mapInArrow(send, "part long, node binary, n long, tokens binary")
-    return sent.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(link, "a binary, b binary")
+    sent = live.select(F.explode("routes").alias("part"), "node", "n", "tokens")
+    return sent.withColumn("g", F.pmod("part", F.lit(groups))).repartition(groups, "g").groupBy("g").applyInArrow(link, "a binary, b binary")
 
 
-def open_visits(live: DataFrame, buckets: int) -> DataFrame:
-    """visitor, host: sets that must still meet a component.
+def postings(live: DataFrame, heavy: bool) -> DataFrame:
+    """token, place, node, label of every prefix token (held by more than GROUP_SETS sets, or by fewer)."""
 
-    Two sets that share a prefix token, could be linked by size and position, stand in different components
-    and met in no part make the one in the smaller component a visitor of the other's.
-    """
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, token, place, routes = [], [], [], []
-            for i, (node, n, tokens, frequency) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            row, token, place = [], [], []
+            for i, (n, tokens, many) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 4)), strict=True)):
                 t = np.frombuffer(tokens, "<u8")
                 m = prefix_of(n, len(t))
-                row.append(np.full(m, i))
-                token.append(t[:m])
-                place.append(n - len(t) + np.arange(m))
-                routes.append(routes_of(node, n, t, np.frombuffer(frequency, "<u4")) + [0] * ROUTES)
+                span = slice(m - many, m) if heavy else slice(0, m - many)
+                token.append(t[span])
+                row.append(np.full(len(token[-1]), i))
+                place.append(n - len(t) + np.arange(m)[span])
             rows = np.concatenate(row) if row else np.zeros(0, np.int64)
             take = pa.array(rows)
-            met = np.array([r[:ROUTES] for r in routes], np.int64).reshape(-1, ROUTES)[rows]
-            columns = [pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), *(batch.column(c).take(take) for c in (0, 1, 4, 5)), pa.array(np.concatenate(place) if place else rows, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(met[:, r]) for r in range(ROUTES))], ["token", "node", "n", "label", "members", "place", *(f"r{r}" for r in range(ROUTES))])
-
-    def visits(table: pa.Table) -> pa.Table:
-        token, n, place, members = (table.column(c).to_numpy() for c in ("token", "n", "place", "members"))
-        labels_, nodes = (table.column(c).combine_chunks().dictionary_encode() for c in ("label", "node"))
-        known = labels_.dictionary.to_pylist()
-        rank = np.empty(len(known), np.int64)
-        rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
-        label, node = labels_.indices.to_numpy(zero_copy_only=False), nodes.indices.to_numpy(zero_copy_only=False)
-        met = np.column_stack([table.column(f"r{r}").to_numpy() for r in range(ROUTES)])
-        order = np.lexsort((n, token))
-        token, n, place, label, node, met, members = token[order], n[order], place[order], label[order], node[order], met[order], members[order]
-        strong = members * len(known) + rank[label]  # the larger component is the host
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, int)
-        found: list[np.ndarray] = []
-        held = 0
-        for s, e in zip(edges, edges[1:], strict=False):
-            if e - s < 2 or (label[s:e] == label[s]).all():
-                continue
-            size = n[s:e]
-            high = s + np.searchsorted(size, size * DENOMINATOR // NUMERATOR, "right")  # skip by position: sizes are in order
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, high[i - s])
-                j = j[label[j] != label[i]]
-                room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-                j = j[room >= least_overlap(n[j], int(n[i]))]
-                if len(j):
-                    together = np.zeros(len(j), bool)
-                    for x in range(ROUTES):
-                        for y in range(ROUTES):
-                            together |= (met[j, x] == met[i, y]) & (met[i, y] != 0)
-                    j = j[~together]
-                    goes = strong[i] < strong[j]
-                    out = np.unique(np.column_stack([np.where(goes, node[i], node[j]), np.where(goes, label[j], label[i])]), axis=0)
-                    found.append(out)
-                    held += len(out)
-            if held > 1_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = len(found[0])
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
-        return pa.Table.from_arrays([nodes.dictionary.take(pa.array(both[:, 0])).cast(pa.binary()), labels_.dictionary.take(pa.array(both[:, 1])).cast(pa.binary())], names=["visitor", "host"])
-
-    met = ", ".join(f"r{r} long" for r in range(ROUTES))
-    posted = live.select("node", "n", "tokens", "frequency", "label", "members").mapInArrow(post, f"token long, node binary, n long, label binary, members long, place long, {met}")
-    raw = posted.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("g")).applyInArrow(visits, "visitor binary, host binary")
-    return raw.distinct()
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), pa.array(np.concatenate(place) if place else rows, pa.int64()), batch.column(0).take(take), batch.column(4).take(take)], ["token", "place", "node", "label"])
+
+    narrow = live.where("heavy > 0") if heavy else live
+    return narrow.select("node", "n", "tokens", "heavy", "label").mapInArrow(run, "token long, place long, node binary, label binary")
+
+
+VISIT = "visitor binary, host binary"
+
+
+def _visits(table: pa.Table) -> pa.Table:
+    """visitor, host of the sets on the same key that could be linked, stand in different components and met in no part."""
+    key, n, place, members = (table.column(c).to_numpy() for c in ("key", "n", "place", "members"))
+    labels_, nodes = (table.column(c).combine_chunks().dictionary_encode() for c in ("label", "node"))
+    known = labels_.dictionary.to_pylist()
+    rank = np.empty(len(known), np.int64)
+    rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+    label, node = labels_.indices.to_numpy(zero_copy_only=False), nodes.indices.to_numpy(zero_copy_only=False)
+    met = np.array([(r + [0] * ROUTES)[:ROUTES] for r in table.column("routes").to_pylist()], np.int64).reshape(-1, ROUTES)
+    order = np.lexsort((n, key))
+    key, n, place, label, node, met, members = key[order], n[order], place[order], label[order], node[order], met[order], members[order]
+    strong = members * len(known) + rank[label]  # the larger component is the host
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    found: list[np.ndarray] = []
+    held = 0
+    for s, e in zip(edges, edges[1:], strict=False):
+        if e - s < 2 or (label[s:e] == label[s]).all():
+            continue
+        size = n[s:e]
+        high = s + np.searchsorted(size, size * DENOMINATOR // NUMERATOR, "right")  # skip by position: sizes are in order
+        for i in range(s, e - 1):
+            j = np.arange(i + 1, high[i - s])
+            j = j[label[j] != label[i]]
+            room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+            j = j[room >= least_overlap(n[j], int(n[i]))]
+            if len(j):
+                together = np.zeros(len(j), bool)
+                for x in range(ROUTES):
+                    for y in range(ROUTES):
+                        together |= (met[j, x] == met[i, y]) & (met[i, y] != 0)
+                j = j[~together]
+                goes = strong[i] < strong[j]
+                out = np.unique(np.column_stack([np.where(goes, node[i], node[j]), np.where(goes, label[j], label[i])]), axis=0)
+                found.append(out)
+                held += len(out)
+        if held > 1_000_000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = len(found[0])
+    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
+    return pa.Table.from_arrays([nodes.dictionary.take(pa.array(both[:, 0])).cast(pa.binary()), labels_.dictionary.take(pa.array(both[:, 1])).cast(pa.binary())], names=["visitor", "host"])
+
+
+def narrow_join(wide: DataFrame, narrow: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """Join a written narrow table: broadcast while it has few rows, by an exchange beyond that."""
+    return wide.join(F.broadcast(narrow) if narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else narrow, on, how)
+
+
+def open_visits(live: DataFrame, groups: int) -> DataFrame:
+    """visitor, host: sets that must still meet a component."""
+    sets = live.select(F.col("node").alias("s_node"), "n", "members", "routes")
+    # tokens held in one component alone are settled; what is sent to find them is the token and a label
+    light = postings(live, False)
+    several = light.groupBy(F.col("token").alias("t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
+    several = materialize(several, "jaccard-open")
+    still = narrow_join(light, several, F.col("token") == F.col("t"), "left_semi")
+    full = still.join(sets, F.col("node") == F.col("s_node")).withColumnRenamed("token", "key").drop("s_node")
+    full = full.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).repartition(groups, "g")
+    out = full.groupBy("g").applyInArrow(_visits, VISIT)
+    heavy = live.where("heavy > 0")
+    if not heavy.isEmpty():
+        out = out.union(_heavy_visits(postings(live, True), sets, groups))
+    return out.distinct()
+
+
+def _heavy_visits(held: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """Visits on tokens of long lists: all to the token's largest component, the others among each other by blocks of the list."""
+    counts = held.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy(F.col("token").alias("t")).agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("rest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    top = materialize(top.select("t", "top", F.ceil(F.col("rest") / GROUP_SETS).alias("chunks"), "kinds"), "jaccard-heavy")
+    outside = narrow_join(held, top, F.col("token") == F.col("t")).where("label <> top")
+    first = outside.select(F.col("node").alias("visitor"), F.col("top").alias("host"))
+    rest = outside.where("kinds > 2").join(sets, F.col("node") == F.col("s_node"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    rest = rest.withColumn("chunk", chunk).withColumn("other", other)
+    rest = rest.withColumn("key", F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    rest = rest.select("key", "place", "node", "label", "n", "members", "routes")
+    return first.union(rest.groupBy(F.pmod("key", F.lit(groups)).alias("g")).applyInArrow(_visits, VISIT))
 
 
 def met_links(visits: DataFrame, live: DataFrame, tasks: int) -> DataFrame:
     """Edges a, b between visitors and members of their hosts; large components and crowds of visitors are dealt over parts."""
     crowd = visits.groupBy("host").agg(F.count(F.lit(1)).alias("crowd"))
-    hosts = live.select("label", "members").dropDuplicates(["label"]).join(crowd, F.col("label") == F.col("host"))
+    hosts = live.select("label", "members").join(crowd, F.col("label") == F.col("host")).dropDuplicates(["label"])
     hosts = hosts.select("host", F.ceil(F.col("members") / GROUP_SETS).alias("parts"), F.ceil(F.col("crowd") / GROUP_SETS).alias("crowds"))
     hosts = materialize(hosts, "jaccard-hosts")
     every = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
-    here = live.join(hosts, F.col("label") == F.col("host")).select("host", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), every("crowds").alias("crowd"), F.lit(False).alias("visits"), "node", "n", "tokens")
-    sets = live.select("node", "n", "tokens")
+    here = narrow_join(live, hosts, F.col("label") == F.col("host")).select("host", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), every("crowds").alias("crowd"), F.lit(False).alias("visits"), "node", "n", "tokens")
     guests = visits.join(hosts, "host").select("host", "visitor", "parts", F.pmod(F.xxhash64("visitor"), F.col("crowds")).alias("crowd"))
-    guests = guests.join(sets, F.col("visitor") == F.col("node")).select("host", every("parts").alias("part"), "crowd", F.lit(True).alias("visits"), "node", "n", "tokens")
+    guests = narrow_join(live.select("node", "n", "tokens"), materialize(guests, "jaccard-guests"), F.col("visitor") == F.col("node"))
+    guests = guests.select("host", every("parts").alias("part"), "crowd", F.lit(True).alias("visits"), "node", "n", "tokens")
 
     def meet(table: pa.Table) -> pa.Table:
+        trim()
         host = table.column("host").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         part, crowd, guest, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "crowd", "visits", "n"))
         nodes, blobs = table.column("node").to_pylist(), table.column("tokens").to_pylist()
@@ -443,35 +539,56 @@ def met_links(visits: DataFrame, live: DataFrame, tasks: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     keyed = here.unionByName(guests).withColumn("g", F.pmod(F.xxhash64("host", "part", "crowd"), F.lit(tasks)))
-    return keyed.groupBy("g").applyInArrow(meet, "a binary, b binary")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    rows = materialize(summaries(docs, id_col, text_col), "jaccard-rows")
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(12, -(-total // BUCKET_TOKENS))
-    tasks = max(12, partitions(spark))
-    live = materialize(live_sets(shared_tokens(token_rows(docs, text_col, buckets), buckets)), "jaccard-live")
-    edges = materialize(part_links(live, tasks), "jaccard-parts")
+    return keyed.repartition(tasks, "g").groupBy("g").applyInArrow(meet, "a binary, b binary")
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, mark (hash of the text), n_shingles, node, and first: id and mark of the smallest row linked with it."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // (TOKEN_BYTES * BUCKET_TOKENS)))
+    gathered = materialize(gathered_sets(shared_tokens(token_rows(docs, id_col, text_col, buckets), buckets)), "jaccard-sets", free=True)
+    rows = gathered.where(F.col("kind") == ROWS).select("doc_id", "mark", F.col("n").alias("n_shingles"), "node")
+    sets = gathered.where(F.col("kind") == SETS)
+    tokens = (sets.agg(F.sum(F.length("tokens")).alias("b")).first()["b"] or 0) // 8
+    groups = max(LEAST_BUCKETS, -(-ROUTES * tokens // GROUP_TOKENS))
+    live = materialize(live_sets(sets, groups), "jaccard-live", free=True)
+    edges = materialize(part_links(live, groups), "jaccard-parts", free=True)
     labels = components(edges)
-    named = live.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
+    named = live.select("node").join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left").select(F.col("node").alias("l_node"), F.coalesce("label", "node").alias("label"))
+    named = materialize(named, "jaccard-labels")
     members = named.groupBy(F.col("label").alias("m_label")).agg(F.count(F.lit(1)).alias("members"))
-    named = materialize(named.join(materialize(members, "jaccard-members"), F.col("label") == F.col("m_label")).drop("m_label"), "jaccard-named")
-    visits = materialize(open_visits(named, tasks), "jaccard-visits")
-    more = materialize(met_links(visits, named, tasks), "jaccard-more")
+    named = materialize(named.join(members, F.col("label") == F.col("m_label")).drop("m_label"), "jaccard-members")
+    named = materialize(narrow_join(live, named, F.col("node") == F.col("l_node")).drop("l_node"), "jaccard-named")
+    drop_table(live)
+    visits = materialize(open_visits(named, groups), "jaccard-visits", free=True)
+    more = materialize(met_links(visits, named, groups), "jaccard-more", free=True)
     if not more.isEmpty():
         labels = components(edges.union(more))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
-    named = materialize(named, "jaccard-nodes")
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = materialize(named.join(least, "label").select(F.col("node").alias("of"), "component"), "jaccard-components")
-    return rows.join(of_node, F.col("node") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    nodes = rows.where("node is not null").groupBy("node").agg(first)
+    nodes = materialize(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "jaccard-nodes")
+    least = nodes.groupBy(F.col("label").alias("c_label")).agg(F.min("first").alias("first"))
+    of_node = materialize(nodes.select("node", "label").join(least, F.col("label") == F.col("c_label")).select(F.col("node").alias("of"), "first"), "jaccard-components")
+    return rows.join(of_node, F.col("node") == F.col("of"), "left").drop("of")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    return linked_rows(docs, id_col, text_col).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of every component."""
-    found = jaccard_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """docs with one row, that of the smallest id, of every component.
+
+    Rows without words are in no component and stay. Of rows with the same id and text one stays; of rows with the
+    same smallest id and different texts the one with the smallest hash of its text; a null id stays only
+    where no row linked with it has one. Columns may have any names; an empty table stays empty.
+    """
+    found = linked_rows(docs, id_col, text_col)
+    kept = found.where(F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    kept = materialize(kept.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count(F.lit(1)).alias("copies")), "jaccard-kept")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_mark"))
+    left = whole.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_mark") == F.col("mark")), "left_semi")
+    if not kept.where("copies > 1").isEmpty():
+        left = left.dropDuplicates(["row_id", "row_mark"])
+    return left.select("row.*")
