@@ -90,6 +90,62 @@ def test_counts_are_the_librarys(library):
     assert [np.frombuffer(i, "<u4").tolist() for i in compiled(JSON).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def long_texts():
+    rng = random.Random(5)
+    return ["a" * 9001, "-" * 4000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6000)), "".join(rng.choices("ab", k=3000)), "x " + "\u00e9\u6f22" * 900 + " y", "".join(rng.choices("tionment", k=5000)) + " end", "\n" * 700 + "z"]
+
+
+@pytest.mark.parametrize(("chunk", "warm", "block", "states"), [(128, 64, 1 << 18, 10**6), (16, 8, 300, 10**6), (5, 1, 64, 200)])
+def test_chunks_of_any_size_count_alike(library, monkeypatch, chunk, warm, block, states):
+    """Cut pieces, wrong guesses, blocks with a carried state and forgotten states change no count."""
+    from chunkloom.llm import tokenfst
+
+    for name, value in (("CHUNK", chunk), ("WARM", warm), ("BLOCK", block), ("MOST_STATES", states)):
+        monkeypatch.setattr(tokenfst, name, value)
+    monkeypatch.setattr(tokenfst.MatrixBPE, "encode_pieces", None)  # counts come from the transducer alone
+    texts = long_texts() + odd_texts(60)
+    machine = tokenfst.CompiledTokenizer(JSON)
+    assert machine.count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(machine.merges.records) <= max(states, 200) + 30_000
+
+
+def test_transitions_carry_the_counts(library):
+    """Summed along any path, the changes on the transitions are the number of tokens read so far."""
+    machine = compiled(JSON).merges
+    for text in ("internationalisation", "aaaaaaaaaaa", "zxqjkvbp", "\u6f22\u5b57"):
+        state, total, body = 0, 0, text.encode()
+        for i, byte in enumerate(body):
+            state, change = machine.follow(state, byte)
+            total += change
+            prefix = body[: i + 1]
+            try:
+                assert total == len(library.encode(prefix.decode(), add_special_tokens=False).ids)
+            except UnicodeDecodeError:
+                pass
+
+
+def test_scan_composes_maps():
+    from chunkloom.llm.tokenfst import scan_counts
+
+    rng = np.random.default_rng(1)
+    n, states = 50, 4
+    exits, counts = rng.integers(0, states, (states, n)), rng.integers(0, 9, (states, n))
+    entry = np.repeat(np.arange(states)[:, None], n, 1)
+    cut = rng.random(n) < 0.7
+    cut[0] = False
+    column, total = scan_counts(entry, exits, counts, cut)
+    at, done = 0, 0
+    for i in range(n):
+        at = 0 if not cut[i] else int(exits[at, i - 1])
+        done += counts[at, i]
+        assert column[i] == at and total[i] == done
+    entry[:, 30] = -1  # a map that knows no entry: everything behind is unknown until the next piece start
+    cut[30] = True
+    column, _ = scan_counts(entry, exits, counts, cut)
+    after = next((i for i in range(31, n) if not cut[i]), n)
+    assert (column[30:after] == -1).all() and (column[:30] >= 0).all() and (column[after:] >= 0).all()
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(odd_texts(80))] + [(500, None, "x", 1), (None, "null id", "x", 1), (3, "again", "x", 1), (501, "long text " * 9000, "x", 1)]
