@@ -7,8 +7,9 @@ lexical features (lengths, depth, digit ratio, entropy, parameter counts, suffix
 that no rule fits. Every URL of the table is judged.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule, and the method's verdict
-on an empty url; equal urls get equal verdicts; with no labelled urls, or labels of one kind, the verdict is
-that kind (allow without any).
+on an empty url; equal urls get equal verdicts, and repeated rows and null ids are judged one by one; with no
+labelled urls, or labels of one kind, the verdict is that kind (allow without any); very long urls are judged whole;
+an empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -208,10 +209,17 @@ def train(urls: list[str], blocked: list[bool]) -> UrlModel:
 
 
 def fit(pages: DataFrame, rules: dict[str, str] = RULES, url_col: str = "url", sample: int = SAMPLE) -> UrlModel:
-    """Train from the labelled URLs with the smallest hashes."""
+    """Train from the distinct labelled URLs with the smallest hashes.
+
+    A first scan estimates how many there are, a second takes the share of the hash range that holds a few more than
+    wanted; so the driver receives the sample and no more, whatever the number of partitions or of copies of a url.
+    """
     host, path = host_and_path(F.col(url_col))
     labelled = pages.select(F.col(url_col).alias("url"), fitting_rule(host, path, rules).alias("rule")).where("rule is not null")
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    known = labelled.agg(F.approx_count_distinct("url").alias("n")).first()["n"]
+    place = F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(float(1 << 53))
+    near = labelled.where(place < min(1.0, 1.2 * sample / max(known, 1))) if known > sample else labelled
+    rows = near.groupBy("url", "rule").agg(F.min(place).alias("place")).orderBy("place", "url").limit(sample).collect()
     return train([r["url"] for r in rows], [rules[r["rule"]] == "block" for r in rows])
 
 

@@ -28,25 +28,63 @@ def test_language_held_out_accuracy(documents):
     assert right / total > 0.97
 
 
-def test_probabilities_and_brute_force_code_lengths():
-    texts = {"a": [b"abab abba baab " * 20], "b": [b"cdcd dccd ddcc " * 20]}
-    m = langid.train(texts)
-    p = np.exp2(-m.cost.astype(float))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+class PlainPPM:
+    """PPM, escape method C with exclusion, by its definition: one language's tree as nested counters."""
+
+    def __init__(self, texts):
+        self.after = collections.defaultdict(collections.Counter)
+        for t in texts:
+            for i in range(len(t)):
+                for order in range(min(i, langid.MAX_ORDER) + 1):
+                    self.after[t[i - order : i]][t[i]] += 1
+
+    def probability(self, context, byte):
+        lower = self.probability(context[1:], byte) if context else 1 / 256
+        seen = self.after.get(context)
+        if not seen:
+            return lower
+        total = sum(seen.values()) + len(seen)
+        if byte in seen:
+            return seen[byte] / total
+        excluded = sum(self.probability(context[1:], b) if context else 1 / 256 for b in seen)
+        return len(seen) / total * lower / (1 - excluded)
+
+    def bits(self, text):
+        return -sum(np.log2(self.probability(text[max(0, i - langid.MAX_ORDER) : i], text[i])) for i in range(len(text)))
+
+
+def test_code_lengths_equal_an_independent_ppm():
+    import random
+
     from chunkloom.llm.common import Texts
 
-    data = np.frombuffer(b"ab cd xabba" + b"dccd", np.uint8)
-    got = m.bits(Texts(0, data, np.array([0, 11, 11, 15])), block=4)
-    want = np.zeros((3, 2))
-    for row, (a, b) in enumerate([(0, 11), (11, 11), (11, 15)]):
-        for i in range(a, b):
-            state = 0
-            for back in range(1, langid.MAX_ORDER + 1):
-                if i - back < a or (nxt := m.child[state, m.symbol[data[i - back]]]) < 0:
-                    break
-                state = nxt
-            want[row] += m.cost[state, m.symbol[data[i]]]
-    assert np.allclose(got, want, atol=1e-3)
+    r = random.Random(3)
+    texts = {"a": [b"abab abba baab " * 20, b"b"], "b": [b"cdcd dccd ddcc " * 20], "c": ["".join(r.choices("abcd \u00e9", k=300)).encode() for _ in range(4)]}
+    m = langid.train(texts)
+    rows = [b"ab cd xabba", b"", b"dccd", "\u00e9\u00e9 ab\u4e2d".encode(), bytes(range(256)), b"z"] + ["".join(r.choices("abcdx \u00e9", k=40)).encode() for _ in range(20)]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    want = [[PlainPPM(texts[lang]).bits(row) for lang in m.languages] for row in rows]
+    for block in (4, 1 << 16):
+        assert np.allclose(m.bits(Texts(0, data, offsets), block=block), want, rtol=1e-5, atol=1e-3)
+
+
+def test_every_language_is_learned_and_none_means_all_stay(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(80):  # more languages than any table has, each with an alphabet of its own order
+        mine = rng.permutation(letters)[:6]
+        rows += [(k * 10 + i, "".join(rng.choice(mine, 200)), f"l{k:02d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 80
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+    bare = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid.keep_languages(bare).collect()] == [1]
+    one = spark.createDataFrame([(i, "long text " * 40_000, "en") for i in range(3)], docs.schema)  # all above the usual size
+    assert langid.fit(one).languages == ["en"]
 
 
 def test_language_edges(spark, documents):
@@ -201,5 +239,33 @@ def test_knn(spark, pivots, monkeypatch):
 
 
 def test_integer_products_beyond_doubles():
-    a = np.array([[2**40 + 1, 3]], np.int64)
-    assert voronoi_knn.products(a, a)[0, 0] == np.int64(((2**40 + 1) ** 2 + 9) % 2**64 - (2**64 if ((2**40 + 1) ** 2 + 9) % 2**64 >= 2**63 else 0))
+    a = np.array([[2**30 + 1, 3]], np.int64)
+    assert voronoi_knn.products(a, a)[0, 0] == (2**30 + 1) ** 2 + 9
+    b = np.array([[2**40 + 1, 3], [-(2**40), 0]], np.int64)
+    assert voronoi_knn.products(b, b).tolist() == [[2**63 - 1, -(2**63)], [-(2**63), 2**63 - 1]]
+
+
+def test_knn_of_repeated_rows_and_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_knn, "QUERY_CHUNK", 2)
+    monkeypatch.setattr(voronoi_knn, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(voronoi_knn, "MERGE", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    rows += [(10, rows[10][1]), (11, rows[11][1])]  # a query row and a candidate row once more
+    short = [(100 + i, rng.normal(size=3).tolist()) for i in range(3)]
+    df = spark.createDataFrame([(i, v) for i, v in rows + short], "vec_id long, embedding array<double>")
+    got = collections.Counter(tuple(r) for r in voronoi_knn.knn_join(df, 12, 10).collect())
+    twice = brute_knn(rows, 12, 10)
+    once = collections.Counter({key: 1 for key in twice if key[0] == 10}) + collections.Counter({key: n for key, n in twice.items() if key[0] != 10})
+    assert sum(once[key] for key in once if key[0] == 10) == 12
+    assert got == once + brute_knn(short, 12, 10)
+
+
+def test_url_sample_is_bounded_and_distinct(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(url_filter, "train", lambda urls, blocked: seen.append(urls))
+    pages = spark.range(6000).selectExpr("id as page_id", "concat('http://a.', if(id % 3 = 0, 'org/x', concat('com/de/', id % 2000))) as url")
+    url_filter.fit(pages, sample=300)
+    assert 200 <= len(seen[0]) <= 300 and len(set(seen[0])) == len(seen[0])
+    url_filter.fit(pages.limit(0))
+    assert seen[1] == []
