@@ -8,8 +8,8 @@ import re
 import pytest
 
 from chunkloom.llm import jaccard_join, suffix_dedup
-from chunkloom.llm.common import Texts
-from chunkloom.llm.exact_dedup import exact_dedup, keep_one
+from chunkloom.llm.common import Texts, key_filter, maybe_in
+from chunkloom.llm.exact_dedup import DedupState, exact_dedup, keep_one
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -149,6 +149,49 @@ def test_exact_dedup_of_nothing(empty):
     assert exact_dedup(empty).count() == 0 and keep_one(empty).columns == empty.columns
 
 
+def test_a_later_run_meets_the_state_of_the_earlier_one(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = f"file://{tmp_path}/state"
+    early = docs.where(F.coalesce("doc_id", F.lit(0)) % 2 == 0)
+    late = docs.where(F.coalesce("doc_id", F.lit(0)) % 2 == 1)
+    DedupState(spark, folder).add(early)
+    first = DedupState(spark, folder)
+    assert first.values().agg(F.sum("group_size")).first()[0] == early.count()
+    first.add(late)
+    again = DedupState(spark, folder)  # another driver goes on from the folder alone
+    assert collections.Counter(tuple(r) for r in again.groups(docs).drop("mark").collect()) == brute_exact(corpus())
+    batches = again.spark.read.parquet(f"{folder}/state").select("batch").distinct().count()
+    assert batches > 2
+    again.add(early)  # the same rows once more: the state counts them
+    assert again.values().agg(F.sum("group_size")).first()[0] == docs.count() + early.count()
+
+
+def test_key_filter_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("part")).withColumn("bits", F.lit("clash"))
+    some = rows.where("id % 50 = 0")
+    got = maybe_in(rows.select("id", F.col("part").alias("key")), F.col("key"), key_filter(some, F.col("part")), "hit").where("hit").collect()
+    assert {r["id"] for r in got} >= set(range(0, 3000, 50)) and len(got) < 70
+    none = maybe_in(rows.select("id"), F.col("id"), key_filter(some.limit(0), F.col("part")), "hit")
+    assert none.where("hit").count() == 0 and none.count() == 3000
+
+
+@pytest.mark.parametrize("keep", [keep_one, jaccard_join.keep_one_of_each, suffix_dedup.strip_repeats])
+def test_stages_carry_columns_of_any_name(spark, keep):
+    names = ["__id", "__digest", "__keep", "__null", "id", "hash", "mark", "row", "kept", "digest", "k0", "text2", "first", "a.b"]
+    rows = [(i, f"some words of text number {i % 4} and a little more", *(f"{i}-{c}" for c in names)) for i in range(8)]
+    rows += [(3, "another text with the id of an earlier one", *(f"x-{c}" for c in names)), (None, rows[0][1], *names), (None, rows[0][1], *names)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    out = keep(docs)
+    assert out.columns == docs.columns
+    found = [tuple(r) for r in out.collect()]
+    assert set(found) <= {tuple(r) for r in rows} and len(set(found)) >= 5
+    if keep is not suffix_dedup.strip_repeats:
+        assert len(found) == len({r[1] for r in found})
+
+
 def test_keep_one_keeps_one_row_of_each_text(docs):
     kept = keep_one(docs)
     texts = [(r["text"] or "").translate(LOW) for r in kept.collect()]
@@ -211,6 +254,6 @@ def test_anchors_cover_every_string():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 2000).astype(np.uint8)
     texts = Texts(0, data, np.array([0, 150, 900, 900, 2000]))
-    row, first, last, _, _ = suffix_dedup.anchors(texts)
+    row, first, last, *_ = suffix_dedup.anchors(texts)
     starts = sorted(i for a, b in zip(first, last, strict=True) for i in range(a, b + 1))
     assert starts == [*range(150, 701), *range(900, 1801)] and set(row) == {1, 3}
