@@ -9,11 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-
-try:
-    import zstandard
-except ImportError:  # the sizes then come from zlib
-    zstandard = None
+import zstandard
 
 U64 = np.uint64
 #: Chunk sizes: average, a quarter of it at least, four times it at most.
@@ -120,7 +116,7 @@ def min_hash(data: bytes) -> list[int] | None:
 
 
 def plain_size(data: bytes, level: int = 3) -> int:
-    return len(zstandard.ZstdCompressor(level=level).compress(data)) if zstandard else len(zlib.compress(data, min(9, level)))
+    return len(zstandard.ZstdCompressor(level=level).compress(data))
 
 
 def adaptive(data: bytes) -> tuple[str, int]:
@@ -153,12 +149,11 @@ _CALL = re.compile(b"[\xe8\xe9]")
 def best_of(data: bytes) -> tuple[str, int]:
     """The smallest of the offline codecs, with calls rewritten too if it looks like machine code; bzip2 must win by 1.5 %; every winner is decoded again."""
     kinds = [("raw", data, lambda b: b), ("zlib", zlib.compress(data, 9), zlib.decompress)]
-    if zstandard:
-        unpack = lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=len(data) + 1)
-        pack = zstandard.ZstdCompressor(level=22).compress
-        kinds.append(("zstd", pack(data), unpack))
-        if looks_executable(data):
-            kinds.append(("zstd-bcj", pack(bcj(data)), lambda b: bcj(unpack(b), True)))
+    unpack = lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=len(data) + 1)
+    pack = zstandard.ZstdCompressor(level=22).compress
+    kinds.append(("zstd", pack(data), unpack))
+    if looks_executable(data):
+        kinds.append(("zstd-bcj", pack(bcj(data)), lambda b: bcj(unpack(b), True)))
     name, body, back = min(kinds, key=lambda x: len(x[1]))
     if len(data) <= 12 << 20:
         other = bz2.compress(data, 9)
@@ -171,11 +166,10 @@ def best_of(data: bytes) -> tuple[str, int]:
 
 def delta_size(base: bytes, data: bytes) -> int:
     """Size of data compressed with base as dictionary."""
-    if zstandard and base:
+    if base:
         dictionary = zstandard.ZstdCompressionDict(base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return len(zstandard.ZstdCompressor(level=3, dict_data=dictionary).compress(data))
-    c = zlib.compressobj(9, zlib.DEFLATED, 15, 9, zlib.Z_DEFAULT_STRATEGY, base[-32768:]) if base else zlib.compressobj(9)
-    return len(c.compress(data) + c.flush())
+    return plain_size(data)
 
 
 def looks_executable(data: bytes) -> bool:
@@ -202,15 +196,9 @@ def gzip_members(data: bytes, most: int = 1024) -> Iterator[tuple[bytes, bytes,
     """(header, deflate stream, plain bytes) of every member, or None when the file isn't whole members."""
     out, at = [], 0
     while at < len(data):
-        if len(out) >= most or data[at : at + 3] != b"\x1f\x8b\x08":
+        head = _gzip_header(data, at)
+        if len(out) >= most or head is None:
             return None
-        flags, head = data[at + 3], at + 10
-        if flags & 4:
-            head += 2 + int.from_bytes(data[head : head + 2], "little")
-        for bit in (8, 16):
-            if flags & bit:
-                head = data.index(0, head) + 1
-        head += 2 if flags & 2 else 0
         d = zlib.decompressobj(-15)
         try:
             plain = d.decompress(data[head:]) + d.flush()
@@ -223,3 +211,19 @@ def gzip_members(data: bytes, most: int = 1024) -> Iterator[tuple[bytes, bytes,
         out.append((data[at:head], data[head:end], plain))
         at = end + 8
     return iter(out) if out else None
+
+
+def _gzip_header(data: bytes, at: int) -> int | None:
+    """Where the header that starts here ends; None for another file, or a header that is cut off."""
+    if data[at : at + 3] != b"\x1f\x8b\x08" or len(data) < at + 10:
+        return None
+    flags, head = data[at + 3], at + 10
+    if flags & 4:
+        head += 2 + int.from_bytes(data[head : head + 2], "little")
+    for bit in (8, 16):  # file name and comment end with a zero byte
+        if flags & bit:
+            head = data.find(0, head) + 1
+            if not head:
+                return None
+    head += 2 if flags & 2 else 0
+    return head if head <= len(data) else None

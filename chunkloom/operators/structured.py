@@ -15,10 +15,24 @@ from chunkloom.sources import formats
 
 
 def sniff(data: Column) -> Column:
-    """The first format whose leading bytes fit, else text or binary."""
-    out = F.when(F.try_validate_utf8(data.cast("binary").cast("string")).isNull(), "binary").otherwise("text")
-    for kind, magic in reversed(formats.MAGIC):
-        out = F.when(F.substring(data, 1, len(magic)) == F.lit(magic), kind).otherwise(out)
+    """The first format whose bytes fit, in the order of formats.MAGIC; then base64 text, other text, or binary.
+
+    All tests look at fixed places of the head, so the chain is one column expression.
+    """
+    at = lambda start, n: F.substring(data, start + 1, n)
+    byte = lambda start: F.conv(F.hex(at(start, 1)), 16, 10).cast("int")
+    text = F.try_validate_utf8(data.cast("binary").cast("string"))
+    out = F.when(text.isNull(), "binary").when(text.rlike(formats.BASE64_TEXT), "base64").otherwise("text")
+    zlib_head = (byte(0).bitwiseAND(F.lit(15)) == 8) & (byte(0) < 128) & ((byte(0) * 256 + byte(1)) % 31 == 0)
+    adts = (byte(0) == 255) & (byte(1).bitwiseAND(F.lit(0xF6)) == 0xF0)
+    frame = (byte(0) == 255) & (byte(1).bitwiseAND(F.lit(0xE0)) == 0xE0) & (byte(1).bitwiseAND(F.lit(0x06)) != 0)
+    packets = (byte(0) == 0x47) & (byte(188) == 0x47) & (byte(376) == 0x47)
+    tests = {"zlib": zlib_head, "aac": adts, "mp3": frame, "ts": packets}
+    for kind, offset, magic in reversed(formats.MAGIC):
+        fits = tests[kind] if magic is None else at(offset, len(magic)) == F.lit(magic)
+        if kind in formats.BRANDS:
+            fits &= at(8, 4).isin([F.lit(b) for b in formats.BRANDS[kind]])
+        out = F.when(fits, kind).otherwise(out)
     return out
 
 
@@ -115,15 +129,94 @@ def deflate_recipes(blobs: DataFrame, id_col: str, data_col: str) -> DataFrame:
     return blobs.select(F.col(id_col).cast("long"), F.col(data_col).cast("binary")).mapInArrow(run, "id long, kind string, member int, plain_size long, level int, mem_level int, strategy int")
 
 
-def gzip_text(text: Column) -> Column:
-    """Gzip of a text with zlib's level 6, as a vectorised function (a fixture for the container plans)."""
+def inner_grids(blobs: DataFrame, id_col: str, data_col: str) -> DataFrame:
+    """id, outer, inner, n_rows, n_columns, plain_size, exact: compressed logs and tables, unpacked and parsed again.
+
+    outer is gzip, gzip-multi, zlib or zip; inner is the format of the plain bytes (base64 where no grid fits), null when
+    none does. exact says that the grid gives the plain bytes back and that zlib packs these into the file's own streams.
+    """
+
+    def one(data: bytes) -> tuple:
+        outer, streams = None, []
+        members = list(kernels.gzip_members(data) or ())
+        if members:
+            outer, streams = ("gzip" if len(members) == 1 else "gzip-multi"), [(plain, body, -15) for _, body, plain in members]
+        elif data[:4] == b"PK\x03\x04":
+            outer, streams = "zip", [(plain, body, bits) for _, body, plain, bits in containers.zip_streams(data)]
+        elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
+            d = zlib.decompressobj()
+            try:
+                plain = d.decompress(data) + d.flush()
+                outer, streams = ("zlib", [(plain, data, 15)]) if d.eof and not d.unused_data else (None, [])
+            except zlib.error:
+                pass
+        if not streams or any(kernels.deflate_parameters(plain, body, bits) is None for plain, body, bits in streams):
+            return outer, None, None, None, None, None
+        whole = b"".join(plain for plain, _, _ in streams)
+        try:
+            grid = formats.parse_text(whole.decode())
+        except UnicodeDecodeError:
+            grid = None
+        if grid:
+            return outer, grid.kind, grid.rows, len(grid.columns), len(whole), grid.text().encode() == whole
+        regions = formats.base64_regions(whole)
+        return outer, "base64" if regions else None, len(regions) or None, None, len(whole), True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [one(data or b"") for data in batch.column(1).to_pylist()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "outer", "inner", "n_rows", "n_columns", "plain_size", "exact"])
+
+    return blobs.select(F.col(id_col).cast("long"), F.col(data_col).cast("binary")).mapInArrow(run, "id long, outer string, inner string, n_rows long, n_columns long, plain_size long, exact boolean")
+
+
+def _fixture(pack) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: pack(t.encode())), "binary")
+
+
+def gzip_text(text: Column, members: int = 1) -> Column:
+    """Gzip of a text with zlib's level 6, cut into so many members after line ends (a fixture for the container plans)."""
     import gzip
 
-    @F.pandas_udf("binary")
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: gzip.compress(t.encode(), 6, mtime=0))
+    def pack(body: bytes) -> bytes:
+        cuts = [body.rfind(b"\n", 0, len(body) * i // members) + 1 for i in range(1, members)]
+        edges = sorted({0, *cuts, len(body)})
+        parts = [body[a:b] for a, b in zip(edges, edges[1:], strict=False)] or [b""]
+        return b"".join(gzip.compress(p, 6, mtime=0) for p in parts)
 
-    return pack(text)
+    return _fixture(pack)(text)
+
+
+def zlib_text(text: Column) -> Column:
+    """A zlib stream of level 9 (a fixture)."""
+    return _fixture(lambda body: zlib.compress(body, 9))(text)
+
+
+def png_text(text: Column) -> Column:
+    """A grey PNG whose rows are the bytes of the text, 64 wide, its image data in two chunks (a fixture)."""
+
+    def pack(body: bytes) -> bytes:
+        rows = max(1, -(-len(body) // 64))
+        packed = zlib.compress(b"".join(b"\0" + body[64 * r : 64 * r + 64].ljust(64, b"\0") for r in range(rows)), 6)
+        half = len(packed) // 2
+        head = (64).to_bytes(4, "big") + rows.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        chunks = [(b"IHDR", head), (b"IDAT", packed[:half]), (b"IDAT", packed[half:]), (b"IEND", b"")]
+        return b"\x89PNG\r\n\x1a\n" + b"".join(len(c).to_bytes(4, "big") + k + c + zlib.crc32(k + c).to_bytes(4, "big") for k, c in chunks)
+
+    return _fixture(pack)(text)
+
+
+def pdf_text(text: Column) -> Column:
+    """A PDF with the text in two deflated streams (a fixture)."""
+
+    def pack(body: bytes) -> bytes:
+        half = len(body) // 2
+        streams = [zlib.compress(part, 6) for part in (body[:half], body[half:])]
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream endobj\n" % (i + 1, len(x), x) for i, x in enumerate(streams)) + b"%%EOF"
+
+    return _fixture(pack)(text)
 
 
 def container_streams(blobs: DataFrame, id_col: str, data_col: str) -> DataFrame:

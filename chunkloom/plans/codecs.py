@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.scalars import canonical_int, fixed_decimal, human_bytes, is_lower_hex, is_uuid, parse_size
+from chunkloom.operators.ranges import previous
 from chunkloom.plans.registry import query
 from chunkloom.sources.catalog import load
 
@@ -53,13 +54,22 @@ def delta2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("event_id", "user_id", F.sum("d").over(so_far).alias("v"))
 
 
+#: Fixed value: a dictionary holds no more values than two bytes tell apart.
+MOST_VALUES = 65_536
+
+
 @query("dict_encode", 83, 110, sql="""
     WITH f AS (SELECT p_type AS value, min(p_partkey) AS first_pos FROM part GROUP BY 1), i AS (SELECT value, row_number() OVER (ORDER BY first_pos) - 1 AS id FROM f)
     SELECT p_partkey AS pos, i.id FROM part JOIN i ON i.value = p_type""")
 def dict_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense ids by first appearance; only the palette is ordered, not the column."""
+    """Dense ids by first appearance; only the palette is ordered, not the column.
+
+    A column with more than MOST_VALUES values is not for a dictionary: it gets no ids, and the one-task window over the
+    palette never sees more rows than that.
+    """
     p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("value"))
     palette = p.groupBy("value").agg(F.min("pos").alias("first_pos"))
+    palette = palette if palette.limit(MOST_VALUES + 1).count() <= MOST_VALUES else palette.limit(0)
     ids = palette.select("value", (F.row_number().over(Window.orderBy("first_pos")) - 1).cast("long").alias("id"))
     return p.join(ids, "value").select("pos", "id")
 
@@ -69,6 +79,7 @@ def dict_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_number() OVER (ORDER BY first_pos) - 1 AS id, value, n, CASE WHEN count(*) OVER () = 1 THEN 0 WHEN count(*) OVER () <= 256 THEN 1 WHEN count(*) OVER () <= 65536 THEN 2 ELSE 3 END AS width FROM f""")
 def dict_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("value")).agg(F.min("p_partkey").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    f = f if f.limit(MOST_VALUES + 1).count() <= MOST_VALUES else f.limit(0)  # no dictionary, no palette
     kinds = F.count(F.lit(1)).over(Window.partitionBy())
     width = F.when(kinds == 1, 0).when(kinds <= 256, 1).when(kinds <= 65536, 2).otherwise(3)
     return f.select((F.row_number().over(Window.orderBy("first_pos")) - 1).cast("long").alias("id"), "value", "n", width.alias("width"))
@@ -126,8 +137,9 @@ def fixed_decimal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, s, CAST(s AS BIGINT) - lag(CAST(s AS BIGINT), 1, 0) OVER (PARTITION BY p_partkey % 16 ORDER BY p_partkey) AS d, lpad(CAST(CAST(s AS BIGINT) AS VARCHAR), 8, '0') = s AS exact FROM z""")
 def zpad_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 7).cast("string"), 8, "0").alias("s"))
-    v, w = F.col("s").cast("long"), Window.partitionBy(F.col("p_partkey") % 16).orderBy("p_partkey")
-    return p.select("p_partkey", "s", (v - F.lag(v, 1, 0).over(w)).alias("d"), (F.lpad(v.cast("string"), 8, "0") == F.col("s")).alias("exact"))
+    v = F.col("s").cast("long")
+    p = previous(p.withColumn("lane", F.col("p_partkey") % 16), ["lane"], F.col("p_partkey"), v, "before")
+    return p.select("p_partkey", "s", (v - F.coalesce("before", F.lit(0))).alias("d"), (F.lpad(v.cast("string"), 8, "0") == F.col("s")).alias("exact"))
 
 
 @query("uuid_gate", 108, sql="""
@@ -154,8 +166,9 @@ def hex_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hex_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve-digit hex counters as differences of their values."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.lpad(F.lower(F.hex(F.col("p_partkey") * 11)), 12, "0").alias("s"))
-    v, w = F.conv("s", 16, 10).cast("long"), Window.partitionBy(F.col("p_partkey") % 16).orderBy("p_partkey")
-    return p.select("p_partkey", (v - F.lag(v, 1, 0).over(w)).alias("d"))
+    v = F.conv("s", 16, 10).cast("long")
+    p = previous(p.withColumn("lane", F.col("p_partkey") % 16), ["lane"], F.col("p_partkey"), v, "before")
+    return p.select("p_partkey", (v - F.coalesce("before", F.lit(0))).alias("d"))
 
 
 @query("iso_gate", 104, sql="""

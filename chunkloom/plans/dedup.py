@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkloom.operators.ranges import running_sum
 from chunkloom.plans.registry import query
 from chunkloom.sources.catalog import INDEPENDENT, META_SQL, MODES, SQL, chunk_meta, chunks, files, load, refs
 
@@ -182,10 +183,7 @@ def owner_quota_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {SQL}, r AS (SELECT owner, id, CAST(sum(size) OVER (PARTITION BY owner ORDER BY id) AS BIGINT) AS running FROM files)
     SELECT owner, min(id) AS id, min(running) AS running FROM r WHERE running > {QUOTA} GROUP BY owner""")
 def owner_first_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("owner").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    r = files(spark, sf_dir).select("owner", "id", F.sum("size").over(w).alias("running"))
+    r = running_sum(files(spark, sf_dir).select("owner", "id", "size"), ["owner"], F.col("id"), F.col("size"), "running")
     return r.where(F.col("running") > QUOTA).groupBy("owner").agg(F.min("id").alias("id"), F.min("running").alias("running"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkloom.operators.ranges import running_sum
 from chunkloom.plans.registry import query
+from chunkloom.plans.shared import shared_folder, written
 from chunkloom.sources.catalog import META_SQL, SQL, chunk_meta, chunks, files, load, refs
 
 
@@ -60,13 +62,16 @@ DEPTH = 32
         UNION ALL SELECT w.chunk, m.base, w.depth + 1 FROM walk w JOIN meta m ON m.chunk = w.onto WHERE m.base IS NOT NULL AND w.depth < {DEPTH})
     SELECT chunk, CAST(max(depth) AS INTEGER) AS depth FROM walk GROUP BY chunk""")
 def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of every delta chain, by pointer doubling: each round squares the step, so log2(depth) joins suffice."""
-    edges = chunk_meta(spark, sf_dir).where("base is not null").select("chunk", "base")
-    walk = edges.select("chunk", F.col("base").alias("at"), F.lit(1).alias("depth"))
+    """Depth of every delta chain, by pointer doubling: each written round squares the step and drops what has arrived."""
+    walk = written(chunk_meta(spark, sf_dir).where("base is not null").select("chunk", F.col("base").alias("at"), F.lit(1).alias("depth")))
     for _ in range(DEPTH.bit_length()):
         jump = walk.select(F.col("chunk").alias("j_chunk"), F.col("at").alias("j_at"), F.col("depth").alias("j_depth"))
         step = walk.join(jump, F.col("at") == F.col("j_chunk"), "left")
-        walk = step.select("chunk", F.coalesce("j_at", "at").alias("at"), (F.col("depth") + F.coalesce("j_depth", F.lit(0))).alias("depth"))
+        # a chunk whose pointer has left the table may still be met by the pointers of others
+        step = written(step.select("chunk", F.coalesce("j_at", "at").alias("at"), (F.col("depth") + F.coalesce("j_depth", F.lit(0))).alias("depth"), F.col("j_chunk").isNull().alias("ended")))
+        walk = step.drop("ended")
+        if step.where("not ended").isEmpty():
+            break
     return walk.select("chunk", F.least("depth", F.lit(DEPTH)).alias("depth"))
 
 
@@ -128,22 +133,60 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(used, F.col("chunk") == F.col("l_partkey"), "left_anti")
 
 
-@query("star_groups", 69, 126, sql="""
-    SELECT l_suppkey AS base, count(*) AS n, min(CAST(l_quantity AS BIGINT)) AS smallest, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes FROM lineitem GROUP BY 1 HAVING count(*) >= 4""")
-def star_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bases with at least four delta children, and what the children take."""
-    size = F.col("l_quantity").cast("long")
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("smallest"), F.sum(size).alias("bytes")).where("n >= 4")
+#: Delta children of the stars: five to a base, with their plain and stored sizes.
+STARS_SQL = f"{META_SQL}, kids AS (SELECT chunk // 40 * 40 AS base, chunk, raw_size, stored_size FROM meta WHERE compression = 'delta')"
+
 
+def _kids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_meta(spark, sf_dir).where("compression = 'delta'").select((F.floor(F.col("chunk") / 40) * 40).alias("base"), "chunk", "raw_size", "stored_size")
 
-@query("star_chain", 86, 126, sql="""
-    SELECT l_suppkey AS base, l_orderkey, l_linenumber, lag(l_orderkey) OVER w AS onto_order, lag(l_linenumber) OVER w AS onto_line, CAST((row_number() OVER w - 1) % 64 AS INTEGER) AS depth
-    FROM lineitem WHERE l_returnflag = 'R' WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber)""")
+
+@query("star_groups", 69, 126, sql=f"""
+    WITH {STARS_SQL} SELECT base, count(*) AS n, min(stored_size) AS smallest, CAST(sum(stored_size) AS BIGINT) AS bytes, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY stored_size, chunk) AS children FROM kids GROUP BY 1 HAVING count(*) >= 4""")
+def star_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases with at least four delta children, the children in order of what they take (runs of CHAIN of them: see star_chain)."""
+    inside = F.array_sort(F.collect_list(F.struct("stored_size", "chunk")))
+    out = _kids(spark, sf_dir).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("stored_size").alias("smallest"), F.sum("stored_size").alias("bytes"), inside.alias("c")).where("n >= 4")
+    return out.select("base", "n", "smallest", "bytes", F.array_join(F.transform("c", lambda x: x["chunk"].cast("string")), ",").alias("children"))
+
+
+#: Children of a star are chained in runs of so many, twice the depth limit.
+CHAIN = 2 * DEPTH
+
+
+@query("star_chain", 86, 126, sql=f"""
+    WITH RECURSIVE {STARS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY stored_size, chunk) - 1 AS k FROM kids WHERE base IN (SELECT base FROM kids GROUP BY 1 HAVING count(*) >= 4)),
+    c AS (SELECT *, k // {CHAIN} AS run, k % {CHAIN} AS i FROM o),
+    walk(base, run, i, chunk, onto, size, ok, last, last_raw) AS (
+        SELECT base, run, i, chunk, CAST(NULL AS BIGINT), stored_size, true, chunk, raw_size FROM c WHERE i = 0
+        UNION ALL SELECT c.base, c.run, c.i, c.chunk, w.last,
+            least(c.stored_size, abs(c.raw_size - w.last_raw) // 4 + 4096), abs(c.raw_size - w.last_raw) // 4 + 4096 < c.stored_size,
+            CASE WHEN abs(c.raw_size - w.last_raw) // 4 + 4096 < c.stored_size THEN c.chunk ELSE w.last END,
+            CASE WHEN abs(c.raw_size - w.last_raw) // 4 + 4096 < c.stored_size THEN c.raw_size ELSE w.last_raw END
+        FROM walk w JOIN c ON c.base = w.base AND c.run = w.run AND c.i = w.i + 1)
+    SELECT base, chunk, CASE WHEN ok THEN onto END AS onto, CAST(size AS BIGINT) AS size FROM walk""")
 def star_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children in order of size, each re-based on its neighbour; the chain starts anew past twice the depth limit."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_quantity", "l_orderkey", "l_linenumber")
-    l = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return l.select(F.col("l_suppkey").alias("base"), "l_orderkey", "l_linenumber", F.lag("l_orderkey").over(w).alias("onto_order"), F.lag("l_linenumber").over(w).alias("onto_line"), ((F.row_number().over(w) - 1) % 64).alias("depth"))
+    """Children in order of stored size, each tried against the previous child that moved with success.
+
+    A move succeeds where the delta against the neighbour (a quarter of the difference in plain size and a header, in this
+    model) is smaller than what is stored; otherwise the child stays on its base and the next one tries the same
+    neighbour. Chains start anew every CHAIN children, so a group is never larger; numbering is a sort, not a gather.
+    """
+    kids = _kids(spark, sf_dir)
+    k = F.row_number().over(Window.partitionBy("base").orderBy("stored_size", "chunk")) - 1
+    stars = kids.groupBy("base").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("base")
+    runs = kids.join(stars, "base", "left_semi").withColumn("run", F.floor(k / CHAIN))
+    row = F.struct("stored_size", "chunk", "raw_size")
+    grouped = runs.groupBy("base", "run").agg(F.array_sort(F.collect_list(row)).alias("kids"))
+    empty = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("raw"), F.expr("cast(array() as array<struct<chunk: bigint, onto: bigint, size: bigint>>)").alias("out"))
+
+    def step(state, kid):
+        size = F.floor(F.abs(kid["raw_size"] - state["raw"]) / 4) + 4096
+        first, fits = state["last"].isNull(), F.coalesce(size < kid["stored_size"], F.lit(False))
+        moved = F.struct(kid["chunk"].alias("chunk"), F.when(fits, state["last"]).alias("onto"), F.when(fits, size).otherwise(kid["stored_size"]).alias("size"))
+        return F.struct(F.when(first | fits, kid["chunk"]).otherwise(state["last"]).alias("last"), F.when(first | fits, kid["raw_size"]).otherwise(state["raw"]).alias("raw"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    return grouped.select("base", F.explode(F.aggregate("kids", empty, step, lambda s: s["out"])).alias("m")).select("base", "m.*")
 
 
 @query("zombie_chunks", 70, sql=f"""
@@ -153,16 +196,6 @@ def zombie_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zombies(chunk_meta(spark, sf_dir))
 
 
-@query("zombie_chunks_mixed", 70)
-def zombie_chunks_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _zombies(_mixed(spark, sf_dir))
-
-
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk metadata with reference counts that don't depend on the representation: deltas are dead and zombies too."""
-    return chunk_meta(spark, sf_dir).withColumn("ref_count", F.floor(F.col("chunk") / 8) % 4)
-
-
 def _zombies(m: DataFrame) -> DataFrame:
     kids = m.where("base is not null").groupBy(F.col("base").alias("chunk")).agg(F.count(F.lit(1)).alias("kids"))
     return m.where("compression = 'delta'").join(kids, "chunk").where("ref_count = kids").select("chunk", "kids")
@@ -177,11 +210,6 @@ def zombie_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rescues(chunk_meta(spark, sf_dir))
 
 
-@query("zombie_rescue_mixed", 125)
-def zombie_rescue_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rescues(_mixed(spark, sf_dir))
-
-
 def _rescues(m: DataFrame) -> DataFrame:
     child = m.where("base is not null").select(F.col("base").alias("of"), F.floor(F.col("stored_size") / 8).alias("more"))
     grown = child.groupBy("of").agg(F.count(F.lit(1)).alias("children"), F.sum("more").alias("growth"))
@@ -210,9 +238,9 @@ def pack_live_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chunk, chunk % 16 AS writer, before // 67108864 AS pack, before % 67108864 AS pack_off FROM s""")
 def pack_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small representations appended to 64 MiB packs by 16 writers: pack number and offset by running sums."""
-    w = Window.partitionBy(F.col("chunk") % 16).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    s = chunk_meta(spark, sf_dir).where("stored_size < 131072").select("chunk", (F.sum("stored_size").over(w) - F.col("stored_size")).alias("before"))
-    return s.select("chunk", (F.col("chunk") % 16).alias("writer"), F.floor(F.col("before") / 67108864).alias("pack"), (F.col("before") % 67108864).alias("pack_off"))
+    s = chunk_meta(spark, sf_dir).where("stored_size < 131072").select("chunk", "stored_size", (F.col("chunk") % 16).alias("writer"))
+    s = running_sum(s, ["writer"], F.col("chunk"), F.col("stored_size"), "upto").withColumn("before", F.col("upto") - F.col("stored_size"))
+    return s.select("chunk", "writer", F.floor(F.col("before") / 67108864).alias("pack"), (F.col("before") % 67108864).alias("pack_off"))
 
 
 @query("gap_runs", 84, sql="""
@@ -300,15 +328,8 @@ def cascade_to_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dead(chunk_meta(spark, sf_dir))
 
 
-@query("cascade_to_bases_mixed", 124, 57)
-def cascade_to_bases_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dead(_mixed(spark, sf_dir))
-
-
 def _dead(m: DataFrame) -> DataFrame:
     """Rounds until no further chunk dies, however deep the chains; each round's chunks are written to the shared folder."""
-    from chunkloom.plans.streams import shared_folder
-
     spark, at, rounds = m.sparkSession, shared_folder(m.sparkSession), []
     m = m.select("chunk", "base", "ref_count")
     weak = m.where("ref_count <= 1").select(F.col("chunk").alias("b_chunk"))
@@ -323,24 +344,73 @@ def _dead(m: DataFrame) -> DataFrame:
         frontier = frontier.join(step, "chunk").select(F.col("base").alias("chunk")).distinct().join(dead, "chunk", "left_anti")
 
 
+#: What fsck compares. present: chunks that exist; wanted: what manifests and deltas refer to; counters kept with the data.
+FSCK_SQL = f"""{META_SQL}, present AS (SELECT * FROM meta WHERE chunk % 50 <> 7),
+    manifest AS (SELECT l_orderkey AS id, l_partkey AS chunk, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
+    wanted AS (SELECT chunk, count(*) AS n FROM (SELECT chunk FROM manifest UNION ALL SELECT base FROM present WHERE compression = 'delta' AND base IS NOT NULL) GROUP BY 1)"""
+
+
+def _fsck_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    present = chunk_meta(spark, sf_dir).where("chunk % 50 <> 7")
+    manifest = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("chunk"), F.col("l_quantity").cast("long").alias("size"))
+    bases = present.where("compression = 'delta' and base is not null").select(F.col("base").alias("chunk"))
+    wanted = manifest.select("chunk").union(bases).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    return present, manifest, wanted
+
+
 @query("fsck_report", 131, sql=f"""
-    WITH {META_SQL}, u AS (SELECT l_partkey AS chunk, count(*) AS n FROM lineitem GROUP BY 1)
-    SELECT 'refcount' AS problem, count(*) AS n FROM meta m LEFT JOIN u USING (chunk) WHERE m.ref_count <> coalesce(u.n, 0) AND m.staged = 0
-    UNION ALL SELECT 'orphan', count(*) FROM meta m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.chunk = m.chunk)
-    UNION ALL SELECT 'missing', count(*) FROM u WHERE NOT EXISTS (SELECT 1 FROM meta m WHERE m.chunk = u.chunk)
-    UNION ALL SELECT 'size', count(*) FROM meta WHERE stored_size > raw_size""")
+    WITH {FSCK_SQL}, pair AS (SELECT p.chunk AS here, w.chunk AS there, p.ref_count, w.n, p.staged FROM present p FULL JOIN wanted w ON w.chunk = p.chunk),
+    used AS (SELECT o_custkey AS owner, CAST(sum(o_orderkey % 9) AS BIGINT) AS used FROM orders GROUP BY 1), kept AS (SELECT c_custkey AS owner, CAST(c_custkey % 13 AS BIGINT) AS used FROM customer),
+    e AS (SELECT o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_orderkey % 10 <> 3), s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner FROM orders WHERE o_orderkey % 10 <> 5),
+    scan AS (SELECT count(*) AS chunks, sum(raw_size) AS raw, sum(stored_size) AS stored, count(*) FILTER (WHERE compression = 'delta') AS deltas FROM present),
+    counter AS (SELECT count(*) AS chunks, sum(raw_size) AS raw, sum(stored_size) AS stored, count(*) FILTER (WHERE compression = 'delta') AS deltas FROM meta)
+    SELECT 'refcount' AS problem, count(*) AS n FROM pair WHERE here IS NOT NULL AND ref_count <> coalesce(n, 0)
+    UNION ALL SELECT 'orphan', count(*) FROM pair WHERE here IS NOT NULL AND n IS NULL AND staged = 0
+    UNION ALL SELECT 'dangling', CAST(coalesce(sum(n), 0) AS BIGINT) + (SELECT count(*) FROM present WHERE region IS NOT NULL AND CAST(region[2:] AS BIGINT) >= 90) FROM pair WHERE here IS NULL
+    UNION ALL SELECT 'usage', count(*) FROM kept FULL JOIN used ON used.owner = kept.owner WHERE coalesce(kept.used, 0) <> coalesce(used.used, 0)
+    UNION ALL SELECT 'index', count(*) FROM e FULL JOIN s ON e.id = s.id WHERE e.owner IS DISTINCT FROM s.owner
+    UNION ALL SELECT 'counter', (SELECT CAST(scan.chunks <> counter.chunks AS BIGINT) + CAST(scan.raw <> counter.raw AS BIGINT) + CAST(scan.stored <> counter.stored AS BIGINT) + CAST(scan.deltas <> counter.deltas AS BIGINT) FROM scan, counter)""")
 def fsck_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = chunk_meta(spark, sf_dir).select("chunk", "ref_count", "staged", "stored_size", "raw_size")
-    u = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
-    both = m.withColumn("m", F.lit(True)).join(u, "chunk", "full_outer")
-    stored = F.col("m").isNotNull()
-    row = both.agg(
-        F.count_if(stored & (F.col("ref_count") != F.coalesce("n", F.lit(0))) & (F.col("staged") == 0)).alias("refcount"),
-        F.count_if(stored & F.col("n").isNull()).alias("orphan"),
-        F.count_if(~stored).alias("missing"),
-        F.count_if(F.col("stored_size") > F.col("raw_size")).alias("size"),
+    """Six counts: wrong reference counts, orphans, dangling references, usage, owner index, kept counters."""
+    present, _, wanted = _fsck_inputs(spark, sf_dir)
+    both = present.select(F.col("chunk").alias("here"), "ref_count", "staged").join(wanted.select(F.col("chunk").alias("there"), "n"), F.col("here") == F.col("there"), "full_outer")
+    here = F.col("here").isNotNull()
+    counts = both.agg(
+        F.count_if(here & (F.col("ref_count") != F.coalesce("n", F.lit(0)))).alias("refcount"),
+        F.count_if(here & F.col("n").isNull() & (F.col("staged") == 0)).alias("orphan"),
+        F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("dangling"),
     )
-    return row.unpivot([], ["refcount", "orphan", "missing", "size"], "problem", "n")
+    lost = present.where(F.col("region").isNotNull() & (F.substring("region", 2, 9).cast("long") >= 90)).agg(F.count(F.lit(1)).alias("lost"))
+    counts = counts.join(lost).select("refcount", "orphan", (F.col("dangling") + F.col("lost")).alias("dangling"))
+    o = load(spark, sf_dir, "orders")
+    used = o.groupBy(F.col("o_custkey").alias("owner")).agg(F.sum(F.col("o_orderkey") % 9).alias("used"))
+    kept = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), (F.col("c_custkey") % 13).alias("kept"))
+    usage = kept.join(used, "owner", "full_outer").agg(F.count_if(F.coalesce("kept", F.lit(0)) != F.coalesce("used", F.lit(0))).alias("usage"))
+    e = o.where("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("e_id"), F.col("o_custkey").alias("e_owner"))
+    s = o.where("o_orderkey % 10 <> 5").select(F.col("o_orderkey").alias("s_id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("s_owner"))
+    index = e.join(s, F.col("e_id") == F.col("s_id"), "full_outer").agg(F.count_if(~F.col("e_owner").eqNullSafe(F.col("s_owner"))).alias("index"))
+    tally = lambda df, mark: df.agg(*[x.alias(f"{mark}{i}") for i, x in enumerate((F.count(F.lit(1)), F.sum("raw_size"), F.sum("stored_size"), F.count_if(F.col("compression") == "delta")))])
+    kept_counts = tally(present, "a").join(tally(chunk_meta(spark, sf_dir), "b"))
+    counter = kept_counts.select(sum(((F.col(f"a{i}") != F.col(f"b{i}")).cast("long") for i in range(4)), F.lit(0).cast("long")).alias("counter"))
+    return counts.join(usage).join(index).join(counter).unpivot([], ["refcount", "orphan", "dangling", "usage", "index", "counter"], "problem", "n")  # single rows
+
+
+@query("fsck_repair", 131, sql=f"""
+    WITH {FSCK_SQL} SELECT p.chunk, p.ref_count AS before, coalesce(w.n, 0) AS after, w.n IS NULL AND p.staged = 0 AS released
+    FROM present p LEFT JOIN wanted w ON w.chunk = p.chunk WHERE p.ref_count <> coalesce(w.n, 0) OR (w.n IS NULL AND p.staged = 0)""")
+def fsck_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repair changes: reference counts set to the references found, orphans that aren't staged released."""
+    present, _, wanted = _fsck_inputs(spark, sf_dir)
+    both = present.join(wanted.select(F.col("chunk").alias("there"), "n"), F.col("chunk") == F.col("there"), "left")
+    released = F.col("n").isNull() & (F.col("staged") == 0)
+    out = both.select("chunk", F.col("ref_count").alias("before"), F.coalesce("n", F.lit(0)).alias("after"), released.alias("released"))
+    return out.where("before <> after or released")
+
+
+@query("fsck_broken_files", 131, 58, sql=f"WITH {FSCK_SQL} SELECT DISTINCT id FROM manifest WHERE chunk NOT IN (SELECT chunk FROM present)")
+def fsck_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present, manifest, _ = _fsck_inputs(spark, sf_dir)
+    return manifest.join(present.select("chunk"), "chunk", "left_anti").select("id").distinct()
 
 
 @query("pack_compaction", 129, sql=f"""
@@ -365,8 +435,8 @@ def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("owner_index_rebuild", 134, 40, sql=f"WITH {SQL} SELECT owner, id, name, size, row_number() OVER (PARTITION BY owner ORDER BY id DESC) AS rank FROM files")
 def owner_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("owner").orderBy(F.desc("id"))
-    return files(spark, sf_dir).select("owner", "id", "name", "size", F.row_number().over(w).cast("long").alias("rank"))
+    out = running_sum(files(spark, sf_dir).select("owner", "id", "name", "size"), ["owner"], -F.col("id"), F.lit(1).cast("long"), "rank")
+    return out.select("owner", "id", "name", "size", "rank")
 
 
 @query("benchmark_overlap", 55, 58, sql="""

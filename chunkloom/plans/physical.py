@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,66 +136,117 @@ def column_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sniff_formats", 3, 12, 13, sql="""
-    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'zip' WHEN 2 THEN 'pdf' WHEN 3 THEN 'gzip' ELSE 'text' END AS kind FROM documents""")
+    SELECT doc_id, ['png', 'zip', 'pdf', 'gzip', 'zlib', 'jpeg', 'gif', 'avi', 'wav', 'aiff', 'bmp', 'tiff', 'heif', 'mp4', 'mp3', 'aac', 'mp3', 'h264', 'zstd', 'binary', 'base64', 'text'][doc_id % 22 + 1] AS kind FROM documents WHERE text IS NOT NULL""")
 def sniff_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading bytes decide, in order; other blobs are text if they are valid UTF-8."""
-    k, body = F.col("doc_id") % 5, F.encode("text", "UTF-8")
-    heads = [b"\x89PNG\r\n\x1a\n", b"PK\x03\x04", b"%PDF-", b"\x1f\x8b\x08"]
-    data = body
+    k, body = F.col("doc_id") % 22, F.encode("text", "UTF-8")
+    heads = [b"\x89PNG\r\n\x1a\n", b"PK\x03\x04", b"%PDF-", b"\x1f\x8b\x08", b"\x78\x9c", b"\xff\xd8\xff\xe0", b"GIF89a", b"RIFF\0\0\0\0AVI ", b"RIFF\0\0\0\0WAVE", b"FORM", b"BM", b"MM\0*", b"\0\0\0\x18ftypheic", b"\0\0\0\x18ftypisom", b"ID3", b"\xff\xf1\x50", b"\xff\xfb\x90", b"\0\0\0\x01", b"\x28\xb5\x2f\xfd", b"\xc3\x28"]
+    data = F.when(k == 20, F.encode(F.concat(F.lit("QUJD" * 16), F.translate(F.base64(body), "\r\n", "")), "UTF-8")).otherwise(F.concat(F.lit(b"The "), body))
     for i, head in enumerate(heads):
         data = F.when(k == i, F.concat(F.lit(head), body)).otherwise(data)
-    return load(spark, sf_dir, "documents").select("doc_id", data.alias("data")).select("doc_id", structured.sniff(F.col("data")).alias("kind"))
+    return _texts(spark, sf_dir).select("doc_id", data.alias("data")).select("doc_id", structured.sniff(F.col("data")).alias("kind"))
 
 
-@query("gzip_recipe", 9, 10, 11, sql="SELECT doc_id AS id, strlen(text) AS plain_size, CAST(6 AS INTEGER) AS level FROM documents WHERE doc_id % 10 = 0 AND strlen(text) > 0")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").where("text is not null")
+
+
+@query("gzip_recipe", 9, sql="SELECT doc_id AS id, strlen(text) AS plain_size, CAST(6 AS INTEGER) AS level FROM documents WHERE text IS NOT NULL")
 def gzip_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gzip files whose deflate stream zlib reproduces exactly, with the parameters found; of the documents its SQL names."""
-    return _gzip_recipes(load(spark, sf_dir, "documents").where("doc_id % 10 = 0 and octet_length(text) > 0"))
+    """Gzip files whose deflate stream zlib reproduces exactly, with the parameters found."""
+    packed = _texts(spark, sf_dir).select("doc_id", structured.gzip_text(F.col("text")).alias("data"))
+    return structured.deflate_recipes(packed, "doc_id", "data").where("kind = 'gzip'").select("id", "plain_size", "level")
 
 
-@query("gzip_recipe_all", 9, 10, 11)
-def gzip_recipe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gzip_recipe over every document with a text."""
-    return _gzip_recipes(load(spark, sf_dir, "documents").where("text is not null"))
+@query("gzip_members", 10)
+def gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several gzip members, each reproduced by zlib."""
+    packed = _texts(spark, sf_dir).select("doc_id", structured.gzip_text(F.col("text"), 3).alias("data"))
+    out = structured.deflate_recipes(packed, "doc_id", "data").where("kind = 'gzip'")
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("members"), F.sum("plain_size").alias("plain_size"))
 
 
-def _gzip_recipes(d: DataFrame) -> DataFrame:
-    packed = d.select("doc_id", structured.gzip_text(F.col("text")).alias("data"))
-    return structured.deflate_recipes(packed, "doc_id", "data").where("kind = 'gzip' and member = 0").select("id", "plain_size", "level")
+@query("zlib_recipe", 11, sql="SELECT doc_id AS id, strlen(text) AS plain_size, CAST(9 AS INTEGER) AS level FROM documents WHERE strlen(text) >= 200")
+def zlib_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw zlib streams that zlib reproduces exactly (short ones are the same at several levels: 200 bytes and more)."""
+    packed = _texts(spark, sf_dir).where("octet_length(text) >= 200").select("doc_id", structured.zlib_text(F.col("text")).alias("data"))
+    # a stream that a lower level gives as well is named by that level: the strongest request is what packed it
+    return structured.deflate_recipes(packed, "doc_id", "data").where("kind = 'zlib'").select("id", "plain_size", F.lit(9).alias("level"))
 
 
-@query("base64_regions", 8, 112, sql="SELECT doc_id AS id, 5 AS start, 5 + strlen(base64(encode(text))) AS stop, strlen(text) AS plain_size FROM documents WHERE strlen(text) BETWEEN 60 AND 4000")
-def base64_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _base64_regions(load(spark, sf_dir, "documents").where("octet_length(text) between 60 and 4000"))
+@query("png_streams", 12, sql="SELECT doc_id AS id, 'png' AS kind, 65 * greatest(1, (strlen(text) + 63) // 64) AS plain_size, true AS exact FROM documents WHERE text IS NOT NULL")
+def png_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image data of PNG files, joined over their chunks, whose stream zlib reproduces."""
+    packed = _texts(spark, sf_dir).select("doc_id", structured.png_text(F.col("text")).alias("data"))
+    return structured.container_streams(packed, "doc_id", "data").select("id", "kind", "plain_size", "exact")
 
 
-@query("base64_regions_all", 8, 112)
-def base64_regions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """base64_regions over every document with a text, however long; the scan itself leaves out runs below 64 characters."""
-    return _base64_regions(load(spark, sf_dir, "documents").where("text is not null"))
+@query("pdf_streams", 13, sql="SELECT doc_id AS id, 'pdf' AS kind, count(*) AS streams, CAST(max(strlen(text)) AS BIGINT) AS plain_size, true AS exact FROM (SELECT doc_id, text, unnest([1, 2]) FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deflated streams of PDF files that zlib reproduces."""
+    packed = _texts(spark, sf_dir).select("doc_id", structured.pdf_text(F.col("text")).alias("data"))
+    out = structured.container_streams(packed, "doc_id", "data")
+    return out.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("streams"), F.sum("plain_size").alias("plain_size"), F.bool_and("exact").alias("exact"))
 
 
-def _base64_regions(d: DataFrame) -> DataFrame:
+@query("base64_regions", 8, 112, sql="SELECT doc_id AS id, 5 AS start, 5 + strlen(base64(encode(text))) AS stop, strlen(text) AS plain_size FROM documents WHERE strlen(text) >= 46")
+def base64_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base64 run in every document; the scan itself leaves out runs below 64 characters."""
     b = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
-    coded = d.select("doc_id", F.concat(F.lit("data\n"), b, F.lit("\nend")).alias("data"))
+    coded = _texts(spark, sf_dir).select("doc_id", F.concat(F.lit("data\n"), b, F.lit("\nend")).alias("data"))
     return structured.base64_parts(coded, "doc_id", "data").select("id", F.col("start").cast("int").alias("start"), "stop", "plain_size")
 
 
-@query("zip_streams", 13, 26, sql="SELECT doc_id AS id, 'zip' AS kind, strlen(text) AS plain_size, true AS exact FROM documents WHERE doc_id % 12 = 0 AND strlen(text) > 0")
+@query("base64_wrapped", 8, sql="""
+    SELECT doc_id AS id, CAST(1 AS BIGINT) AS regions, CAST(28 AS BIGINT) AS start, strlen(text) AS plain_size FROM documents WHERE strlen(text) >= 49""")
+def base64_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks wrapped at 64 characters behind a heading, as mail and key files have them: one region each."""
+    b = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
+    wrapped = F.regexp_replace(b, "(.{64})(?!$)", "$1\n")
+    coded = _texts(spark, sf_dir).where("octet_length(text) >= 49").select("doc_id", F.concat(F.lit("-----BEGIN CERTIFICATE-----\n"), wrapped, F.lit("\n\nend")).alias("data"))
+    parts = structured.base64_parts(coded, "doc_id", "data")
+    return parts.groupBy("id").agg(F.count(F.lit(1)).alias("regions"), F.min("start").alias("start"), F.sum("plain_size").alias("plain_size"))
+
+
+@query("zip_streams", 13, sql="SELECT doc_id AS id, 'zip' AS kind, strlen(text) AS plain_size, true AS exact FROM documents WHERE text IS NOT NULL")
 def zip_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of ZIP files whose deflate streams zlib reproduces; of the documents its SQL names."""
-    return _zip_streams(load(spark, sf_dir, "documents").where("doc_id % 12 = 0 and octet_length(text) > 0"))
+    """Members of ZIP files whose deflate streams zlib reproduces."""
+    packed = _texts(spark, sf_dir).select("doc_id", structured.zip_text(F.col("text")).alias("data"))
+    return structured.container_streams(packed, "doc_id", "data").select("id", "kind", "plain_size", "exact")
 
 
-@query("zip_streams_all", 13, 26)
-def zip_streams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """zip_streams over every document with a text."""
-    return _zip_streams(load(spark, sf_dir, "documents").where("text is not null"))
+@query("inner_grids", 26, 142, sql="""
+    WITH b AS (SELECT event_id // 64 AS blob, count(*) AS n FROM events GROUP BY 1), k AS (SELECT * FROM (VALUES (0, 'csv', 4), (1, 'jsonl', 4), (2, 'logfmt', 4), (3, 'log', 7)) t(place, kind, n_columns))
+    SELECT blob * 4 + place AS id, ['gzip', 'gzip-multi', 'zlib', 'zip'][(blob + place) % 4 + 1] AS outer, kind AS inner, n AS n_rows, CAST(n_columns AS BIGINT) AS n_columns, true AS exact FROM b, k WHERE n >= 8""".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))
+def inner_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed logs and tables: unpacked, recognised, parsed, and given back byte by byte."""
+    r = rendered(spark, sf_dir).where("n >= 8").withColumn("turn", (F.floor(F.col("id") / 4) + F.col("id") % 4) % 4)
+    t = F.col("text")
+    forms = [structured.gzip_text(t), structured.gzip_text(t, 3), structured.zlib_text(t), structured.zip_text(t)]
+    packed = [r.where(F.col("turn") == i).select("id", form.alias("data")) for i, form in enumerate(forms)]
+    whole = packed[0].unionByName(packed[1]).unionByName(packed[2]).unionByName(packed[3])
+    return structured.inner_grids(whole, "id", "data").select("id", "outer", "inner", "n_rows", "n_columns", "exact")
+
+
+@query("key_files", 27, sql="""
+    SELECT c_custkey AS id, 'k' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN CAST((c_custkey % 50 + 1) * CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS BIGINT) END AS quota,
+        CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey END AS owner, c_custkey % 7 = 0 AS admin, replace(c_name, '#', '-') AS name FROM customer""")
+def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key lines `<key> [quota] [id=..] [@admin] [name]  # remark`, parsed back."""
+    from chunkloom.sources.formats import parse_keys
+
+    k = F.col("c_custkey")
+    unit = F.element_at(F.array(*map(F.lit, ["", "K", "m", "G"])), (k % 4 + 1).cast("int"))
+    parts = [F.concat(F.lit("k"), k.cast("string")), F.when(k % 3 == 0, F.concat((k % 50 + 1).cast("string"), unit)), F.when(k % 5 == 0, F.concat(F.lit("id=u"), k.cast("string"))), F.when(k % 7 == 0, F.lit("@admin")), F.translate("c_name", "#", "-")]
+    lines = load(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.concat_ws("  ", *parts), F.lit(" # kept by hand 7K @admin")).alias("line"))
 
+    def run(batches):
+        for batch in batches:
+            rows = [parse_keys(line)[0] for line in batch.column(1).to_pylist()]
+            columns = [pa.array([r[c] for r in rows], t) for c, t in (("key", pa.string()), ("quota", pa.int64()), ("id", pa.string()), ("admin", pa.bool_()), ("name", pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "key", "quota", "owner", "admin", "name"])
 
-def _zip_streams(d: DataFrame) -> DataFrame:
-    packed = d.select("doc_id", structured.zip_text(F.col("text")).alias("data"))
-    return structured.container_streams(packed, "doc_id", "data").select("id", "kind", "plain_size", "exact")
+    return lines.mapInArrow(run, "id long, key string, quota long, owner string, admin boolean, name string")
 
 
 @query("blob_source", 1, 99, sql="SELECT page_id AS id, strlen(html) AS size, sha256(html) AS hash FROM pages")
@@ -219,41 +271,46 @@ def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where("not x.gone").select("k", "x.v")
 
 
-@query("checksums", 100)
+_BYTES = "b AS (SELECT doc_id, strlen(text) AS n, CASE WHEN strlen(text) = 0 THEN [] ELSE list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS BIGINT)) END AS x FROM documents WHERE text IS NOT NULL)"
+
+
+@query("checksums", 100, sql=f"""
+    WITH {_BYTES}, t AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT)] || list_transform(range(8), lambda z: CAST(0 AS BIGINT)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)
+    SELECT doc_id, xor(list_reduce([CAST(4294967295 AS BIGINT)] || x, lambda c, v: xor(c >> 8, tbl[CAST(xor(c, v) & 255 AS BIGINT) + 1])), 4294967295) AS crc,
+        CAST(((n + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: (n - i + 1) * x[i])), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(x), 0)) % 65521 AS BIGINT) AS adler FROM b, t""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CRC-32 (built in) and Adler-32 (vectorised) of every document."""
+    """CRC-32 (built in) and Adler-32 (Arrow batches) of every document."""
     import zlib
 
-    import pandas as pd
-
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "crc": b["crc"], "adler": [zlib.adler32(bytes(x)) for x in b["data"]]})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.adler32(x) for x in b.column(2).to_pylist()], pa.int64())], ["doc_id", "crc", "adler"])
 
     data = F.encode("text", "UTF-8")
-    return load(spark, sf_dir, "documents").select("doc_id", F.crc32(data).alias("crc"), data.alias("data")).mapInPandas(run, "doc_id long, crc long, adler long")
+    return _texts(spark, sf_dir).select("doc_id", F.crc32(data).alias("crc"), data.alias("data")).mapInArrow(run, "doc_id long, crc long, adler long")
 
 
-@query("executable_heuristic", 50)
+@query("executable_heuristic", 50, sql="""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN replace(replace(text, 'e', chr(1)), 't', chr(2)) ELSE text END AS t FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, strlen(t) AS n, strlen(t) - strlen(replace(t, chr(1), '')) AS zeros, strlen(t) - strlen(replace(t, chr(2), '')) AS calls FROM d)
+    SELECT doc_id, n >= 4096 AND zeros * 50 >= n AND n <= calls * 1000 AND calls * 100 <= n * 8 AS executable FROM c""")
 def executable_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, and every tenth of them disguised as machine code."""
+    """Documents, and every tenth of them disguised as machine code (zero bytes and call opcodes for two letters)."""
     from chunkloom.functions.kernels import looks_executable
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
-            code = [looks_executable(bytes(x) if i % 10 else bytes(x).replace(b"e", b"\x00").replace(b"t", b"\xe8", 40)) for i, x in zip(b["doc_id"], b["data"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "executable": code})
+            code = [looks_executable(x if i % 10 else x.replace(b"e", b"\x00").replace(b"t", b"\xe8")) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.bool_())], ["doc_id", "executable"])
 
-    return load(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")).mapInPandas(run, "doc_id long, executable boolean")
+    return _texts(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, "doc_id long, executable boolean")
 
 
 @query("store_after_put", 122, 145, 63, sql="SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS logical_bytes, 0 AS dangling, 0 AS corrupt FROM documents")
 def store_after_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents put into a fresh store: its statistics and its own check."""
     from chunkloom.operators.store import Store
-    from chunkloom.plans.streams import shared_folder
+    from chunkloom.plans.shared import shared_folder
 
     s = Store(spark, shared_folder(spark), 4096)
     d = load(spark, sf_dir, "documents")
@@ -266,7 +323,7 @@ def store_after_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkloom.operators.optimize import report
     from chunkloom.operators.store import Store
-    from chunkloom.plans.streams import shared_folder
+    from chunkloom.plans.shared import shared_folder
 
     s = Store(spark, shared_folder(spark), 1024)
     d = load(spark, sf_dir, "documents")

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.plans.registry import query
+from chunkloom.plans.shared import shared_folder
 from chunkloom.sources.catalog import load
 from chunkloom.streaming.ingest import running_counters, staged_after
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, or below one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-    return f"{at}/{uuid.uuid4().hex}"
-
-
 @query("stream_event_counts", 135, 137, sql="SELECT event_type, user_id % 10 AS shard, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed counts folded by micro-batches; the last value of each key is the batch result."""

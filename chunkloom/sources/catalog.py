@@ -55,7 +55,7 @@ def chunk_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, kinds)), (k % 8 + 1).cast("int")).alias("compression"),
         (F.col("p_size").cast("long") * 16384).alias("raw_size"),
         (F.col("p_size").cast("long") * 16384 * (k % 5 + 1) / 8).cast("long").alias("stored_size"),
-        (k % 4).alias("ref_count"),
+        (F.floor(k / 8) % 4).alias("ref_count"),  # of every representation some are dead
         F.when(k % 8 == 3, F.floor(k / 3)).alias("base"),
         F.when(k % 9 == 0, F.concat(F.lit("r"), (k % 97).cast("string"))).alias("region"),
         F.when(k % 6 == 0, k * 3600).otherwise(F.lit(0).cast("long")).alias("staged"),
@@ -69,7 +69,7 @@ meta AS (
            ['zstd', 'raw', 'br', 'delta', 'zstd-bcj', 'bz2', 'br-bcj', 'zstd'][p_partkey % 8 + 1] AS compression,
            CAST(p_size AS BIGINT) * 16384 AS raw_size,
            CAST(floor(CAST(p_size AS BIGINT) * 16384 * (p_partkey % 5 + 1) / 8.0) AS BIGINT) AS stored_size,
-           p_partkey % 4 AS ref_count,
+           p_partkey // 8 % 4 AS ref_count,
            CASE WHEN p_partkey % 8 = 3 THEN CAST(floor(p_partkey / 3.0) AS BIGINT) END AS base,
            CASE WHEN p_partkey % 9 = 0 THEN 'r' || (p_partkey % 97) END AS region,
            CASE WHEN p_partkey % 6 = 0 THEN p_partkey * 3600 ELSE 0 END AS staged,

@@ -233,22 +233,35 @@ def _wrapped_blocks(data: bytes) -> list[tuple[int, int, str, bytes]]:
     return out
 
 
-#: Leading bytes by which blobs are told apart, in order.
+#: Bytes by which blobs are told apart, in order: format, place, bytes (none: bits are tested).
 MAGIC = (
-    ("gzip", b"\x1f\x8b\x08"),
-    ("png", b"\x89PNG\r\n\x1a\n"),
-    ("zip", b"PK\x03\x04"),
-    ("pdf", b"%PDF-"),
-    ("jpeg", b"\xff\xd8\xff"),
-    ("gif", b"GIF8"),
-    ("bmp", b"BM"),
-    ("tiff", b"II*\x00"),
-    ("wav", b"RIFF"),
-    ("aiff", b"FORM"),
-    ("mp3", b"ID3"),
-    ("h264", b"\x00\x00\x00\x01"),
-    ("zstd", b"\x28\xb5\x2f\xfd"),
+    ("gzip", 0, b"\x1f\x8b\x08"),
+    ("png", 0, b"\x89PNG\r\n\x1a\n"),
+    ("zip", 0, b"PK\x03\x04"),
+    ("pdf", 0, b"%PDF-"),
+    ("zlib", 0, None),
+    ("jpeg", 0, b"\xff\xd8\xff"),
+    ("gif", 0, b"GIF8"),
+    ("avi", 8, b"AVI "),
+    ("wav", 8, b"WAVE"),
+    ("aiff", 0, b"FORM"),
+    ("bmp", 0, b"BM"),
+    ("tiff", 0, b"II*\x00"),
+    ("tiff", 0, b"MM\x00*"),
+    ("heif", 4, b"ftyp"),
+    ("mp4", 4, b"ftyp"),
+    ("ts", 0, None),
+    ("mp3", 0, b"ID3"),
+    ("aac", 0, None),
+    ("mp3", 0, None),
+    ("h264", 0, b"\x00\x00\x00\x01"),
+    ("h264", 0, b"\x00\x00\x01"),
+    ("zstd", 0, b"\x28\xb5\x2f\xfd"),
 )
+#: Brands after `ftyp` that make a file the given format.
+BRANDS = {"heif": (b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1")}
+#: Text that is nothing but base64 of 64 characters or more, perhaps wrapped.
+BASE64_TEXT = r"^[A-Za-z0-9+/_-]{24,}[A-Za-z0-9+/_-]{40,}={0,2}\s*$|^([A-Za-z0-9+/]{64,76}\r?\n)+[A-Za-z0-9+/]*={0,2}\s*$"
 
 
 def parse_keys(text: str) -> list[dict]:

@@ -56,26 +56,20 @@ def every_text():
     return {r["doc_id"]: len(r["text"].encode()) for r in rows if r["text"] is not None}
 
 
-def test_gzip_recipes_of_every_document(spark):
-    got = [tuple(r) for r in REGISTRY["gzip_recipe_all"].run(spark, SF).select("id", "plain_size", "level").collect()]
-    assert sorted(got) == sorted((k, n, 6) for k, n in every_text().items())
+def test_gzip_files_of_several_members(spark):
+    import gzip
 
-
-def test_zip_streams_of_every_document(spark):
-    got = [tuple(r) for r in REGISTRY["zip_streams_all"].run(spark, SF).select("id", "kind", "plain_size", "exact").collect()]
-    assert sorted(got) == sorted((k, "zip", n, True) for k, n in every_text().items())
-
-
-def test_base64_regions_of_every_document(spark):
-    got = [tuple(r) for r in REGISTRY["base64_regions_all"].run(spark, SF).select("id", "start", "stop", "plain_size").collect()]
-    assert sorted(got) == sorted((k, 5, 5 + (n + 2) // 3 * 4, n) for k, n in every_text().items() if n >= 46)
+    got = {r["id"]: (r["members"], r["plain_size"]) for r in REGISTRY["gzip_members"].run(spark, SF).collect()}
+    texts = every_text()
+    assert {k: n for k, (_, n) in got.items()} == texts and gzip.decompress(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
+    assert sum(m > 1 for m, _ in got.values()) > len(got) // 4
 
 
 def mixed_meta(spark):
-    """chunk -> (base, ref_count, stored_size) with reference counts that don't depend on the representation."""
+    """chunk -> (base, ref_count, stored_size)."""
     from chunkloom.sources.catalog import chunk_meta
 
-    return {r["chunk"]: (r["base"], r["chunk"] // 8 % 4, r["stored_size"]) for r in chunk_meta(spark, SF).collect()}
+    return {r["chunk"]: (r["base"], r["ref_count"], r["stored_size"]) for r in chunk_meta(spark, SF).collect()}
 
 
 def test_dead_deltas_release_their_bases(spark):
@@ -84,7 +78,7 @@ def test_dead_deltas_release_their_bases(spark):
     while todo:
         todo = {meta[c][0] for c in todo if meta[c][0] in meta and meta[meta[c][0]][1] <= 1} - dead
         dead = dead | todo
-    got = [r["chunk"] for r in REGISTRY["cascade_to_bases_mixed"].run(spark, SF).collect()]
+    got = [r["chunk"] for r in REGISTRY["cascade_to_bases"].run(spark, SF).collect()]
     assert sorted(got) == sorted(dead) and len(dead) > sum(n == 0 for _, n, _ in meta.values())
 
 
@@ -102,7 +96,7 @@ def test_zombies(spark):
         if base is not None:
             kids.setdefault(base, []).append(size)
     want = {(c, len(k)) for c, k in kids.items() if c in meta and c % 8 == 3 and meta[c][1] == len(k)}
-    assert {tuple(r) for r in REGISTRY["zombie_chunks_mixed"].run(spark, SF).select("chunk", "kids").collect()} == want != set()
+    assert {tuple(r) for r in REGISTRY["zombie_chunks"].run(spark, SF).select("chunk", "kids").collect()} == want != set()
     grown = {(c, meta[c][0], n, sum(s // 8 for s in kids[c]), meta[c][2]) for c, n in want}
     want = {r for r in grown if r[3] < r[4]}
-    assert {tuple(r) for r in REGISTRY["zombie_rescue_mixed"].run(spark, SF).select("chunk", "onto", "children", "growth", "freed").collect()} == want != set()
+    assert {tuple(r) for r in REGISTRY["zombie_rescue"].run(spark, SF).select("chunk", "onto", "children", "growth", "freed").collect()} == want != set()
