@@ -39,41 +39,77 @@ def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     h = table[data]
     span = 1
     while span < 64:
-        older = np.zeros_like(h)
-        older[span:] = h[:-span]
-        h = h + (older << U64(span))
+        h[span:] += h[:-span] << U64(span)
         span *= 2
     return h
 
 
+#: Bytes whose rolling hashes are computed together.
+RUN_BYTES = 1 << 20
+
+
 def cut_points(data: bytes, average: int = AVERAGE) -> list[int]:
-    """Ends of content-defined chunks: normalised cutting, stricter before the average size, looser after it.
+    """Ends of content-defined chunks of one blob (see cut_batch)."""
+    return cut_batch(np.frombuffer(data, np.uint8), np.array([0, len(data)]), average)[0]
+
 
-    The rolling value starts from zero at the minimum size of each chunk; a cut falls after the byte that
-    satisfies the mask; a rest no longer than the minimum is one chunk.
+def cut_batch(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) -> list[list[int]]:
+    """Ends of content-defined chunks of every blob data[offsets[i]:offsets[i + 1]], counted from its start.
+
+    Normalised cutting, stricter before the average size, looser after it. The rolling value starts from zero at the
+    minimum size of each chunk; a cut falls after the byte that satisfies the mask; a rest no longer than the minimum
+    is one chunk. The hash of a place depends on its last 64 bytes alone, so all places are hashed once, for many blobs
+    together; at the first 63 places behind a chunk's minimum, what earlier bytes gave is taken off again.
     """
-    n, bits = len(data), average.bit_length() - 1
+    out: list[list[int]] = []
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "right")) - 1)
+        base = int(offsets[first])
+        out += _cut_run(data[base : int(offsets[stop])], (offsets[first : stop + 1] - base).tolist(), average)
+        first = stop
+    return out
+
+
+def _cut_run(data: np.ndarray, offsets: list[int], average: int) -> list[list[int]]:
+    bits = average.bit_length() - 1
     low, high = average // 4, average * 4
     strict, loose = _mask(bits + 2), _mask(bits - 2)
-    table = gear_table()
-    view = np.frombuffer(data, np.uint8)
-    out, at = [], 0
-    while at < n:
-        rest = n - at
-        if rest <= low:
-            out.append(n)
-            break
-        limit = min(rest, high)
-        middle = min(average, limit)
-        h = gear_hashes(view[at + low : at + limit], table)
-        early = np.flatnonzero((h[: middle - low] & strict) == 0)
-        if len(early):
-            cut = low + int(early[0]) + 1
-        else:
-            late = np.flatnonzero((h[middle - low :] & loose) == 0)
-            cut = middle + int(late[0]) + 1 if len(late) else limit
-        at += cut
-        out.append(at)
+    h = gear_hashes(data, gear_table())
+    stricts, looses = np.flatnonzero((h & strict) == 0), np.flatnonzero((h & loose) == 0)
+    shifts = np.arange(1, 64, dtype=U64)
+
+    def hit(begin: int, a: int, b: int, mask: np.uint64, places: np.ndarray) -> int:
+        """The first place in [a, b) that satisfies the mask, in a chunk whose rolling value starts at begin; -1 without."""
+        edge = begin + 63  # from here on the hash of all bytes is the chunk's own
+        if a < edge:
+            some = h[a : min(b, edge)]
+            if begin:
+                some = some - (h[begin - 1] << shifts[a - begin : a - begin + len(some)])
+            found = np.flatnonzero((some & mask) == 0)
+            if len(found):
+                return a + int(found[0])
+            a = edge
+        k = int(np.searchsorted(places, a))
+        return int(places[k]) if k < len(places) and places[k] < b else -1
+
+    out = []
+    for start, end in zip(offsets, offsets[1:], strict=False):
+        ends, at = [], start
+        while at < end:
+            rest = end - at
+            if rest <= low:
+                at = end
+            else:
+                limit = min(rest, high)
+                middle = min(average, limit)
+                begin = at + low
+                cut = hit(begin, begin, at + middle, strict, stricts)
+                if cut < 0:
+                    cut = hit(begin, at + middle, at + limit, loose, looses)
+                at = cut + 1 if cut >= 0 else at + limit
+            ends.append(at - start)
+        out.append(ends)
     return out
 
 
