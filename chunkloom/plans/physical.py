@@ -329,3 +329,96 @@ def optimize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     s.put(d.select(F.col("doc_id").alias("id"), F.lit("n").alias("name"), F.col("source").alias("owner"), F.encode("text", "UTF-8").alias("data")), 1)
     return report(s)
+
+
+CACHE_BYTES, SHARD = 40, 256
+
+
+@query("cache_replay", 94, sql=f"""
+    WITH a AS (SELECT event_id // {SHARD} AS shard, event_id AS pos, user_id AS key, 1 + user_id % 7 AS size FROM events),
+    p AS (SELECT *, lag(pos) OVER (PARTITION BY shard, key ORDER BY pos) AS before FROM a),
+    d AS (SELECT p.shard, p.pos, p.size, p.before, sum(o.size) AS between_bytes FROM p LEFT JOIN (SELECT shard, key, pos, size FROM p) o ON o.shard = p.shard AND o.pos > p.before AND o.pos < p.pos
+          AND NOT EXISTS (SELECT 1 FROM p x WHERE x.shard = o.shard AND x.key = o.key AND x.pos > o.pos AND x.pos < p.pos) GROUP BY ALL)
+    SELECT shard, count(*) AS reads, count(*) FILTER (WHERE before IS NOT NULL AND coalesce(between_bytes, 0) + size <= {CACHE_BYTES}) AS hits FROM d GROUP BY 1""")
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads replayed through a byte-bounded least-recently-used cache, one cache a shard of 256 reads."""
+    from chunkloom.functions.cache import ByteCache
+
+    def replay(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("event_id", "user_id")), strict=True))
+        cache, hits = ByteCache(CACHE_BYTES), 0
+        for _, key in rows:
+            if cache.get(key):
+                hits += 1
+            else:
+                cache.put(key, True, 1 + key % 7)
+        return pa.table({"shard": [rows[0][0] // SHARD], "reads": [len(rows)], "hits": [hits]})
+
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / SHARD).alias("shard"))
+    return e.groupBy("shard").applyInArrow(replay, "shard long, reads long, hits long")
+
+
+#: Request patterns and the data flow that answers each.
+HANDLERS = (
+    ("PUT", "^/files/[^/]+$", "put"),
+    ("GET", "^/files/[0-9]+$", "get"),
+    ("DELETE", "^/files/[0-9]+$", "delete"),
+    ("GET", "^/files$", "list"),
+    ("POST", "^/chunks/missing$", "missing"),
+    ("POST", "^/manifests$", "commit"),
+    ("GET", "^/stats$", "stats"),
+    ("POST", "^/fsck$", "fsck"),
+)
+
+
+@query("request_dispatch", 147, sql="""
+    WITH r AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'PUT /files/a.txt' WHEN 1 THEN 'GET /files/' || user_id WHEN 2 THEN 'DELETE /files/' || user_id WHEN 3 THEN 'GET /files' WHEN 4 THEN 'POST /chunks/missing'
+        WHEN 5 THEN 'POST /manifests' WHEN 6 THEN 'GET /stats' WHEN 7 THEN 'POST /fsck' WHEN 8 THEN 'GET /files/x/y' ELSE 'PATCH /files' END AS line FROM events)
+    SELECT ['put', 'get', 'delete', 'list', 'missing', 'commit', 'stats', 'fsck', NULL, NULL][event_id % 10 + 1] AS handler, CASE event_id % 10 WHEN 8 THEN 404 WHEN 9 THEN 405 ELSE 200 END AS status, count(*) AS n FROM r GROUP BY ALL""")
+def request_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request lines sent to the data flows that answer them: 404 for no such path, 405 for a path with other methods."""
+    k, u = F.col("event_id") % 10, F.col("user_id").cast("string")
+    lines = ["PUT /files/a.txt", None, None, "GET /files", "POST /chunks/missing", "POST /manifests", "GET /stats", "POST /fsck", "GET /files/x/y", "PATCH /files"]
+    line = F.when(k == 1, F.concat(F.lit("GET /files/"), u)).when(k == 2, F.concat(F.lit("DELETE /files/"), u))
+    for i, fixed in enumerate(lines):
+        line = line.when(k == i, F.lit(fixed)) if fixed else line
+    r = load(spark, sf_dir, "events").select(line.alias("line"))
+    method, path = F.split_part("line", F.lit(" "), F.lit(1)), F.split_part("line", F.lit(" "), F.lit(2))
+    handler, known = F.lit(None).cast("string"), F.lit(False)
+    for verb, pattern, name in reversed(HANDLERS):
+        handler = F.when((method == verb) & path.rlike(pattern), name).otherwise(handler)
+        known = known | path.rlike(pattern)
+    status = F.when(handler.isNotNull(), 200).when(known, 405).otherwise(404)
+    return r.groupBy(handler.alias("handler"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("region_files", 30, 85, sql="SELECT CAST(count(DISTINCT text) AS BIGINT) AS chunks, true AS exact FROM documents WHERE text IS NOT NULL AND strlen(text) > 0")
+def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as chunks, packed into regions, written as one compressed body each, read back by place, and compared."""
+    import zstandard
+
+    d = _texts(spark, sf_dir).where("octet_length(text) > 0").select(F.encode("text", "UTF-8").alias("data")).distinct().withColumn("hash", F.sha2("data", 256))
+    packs = similarity.region_packs(similarity.sketches(d))
+    members = packs.join(d, "hash")
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "offset", "size", "hash", "data")), strict=True))
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(r[4] for r in rows))
+        return pa.table({"region": [table.column("region")[0].as_py()], "body": [body], "offsets": [[r[1] for r in rows]], "sizes": [[r[2] for r in rows]], "hashes": [[r[3] for r in rows]]})
+
+    written_ = members.groupBy("region").applyInArrow(write, "region string, body binary, offsets array<long>, sizes array<long>, hashes array<string>")
+
+    def read(batches):
+        import hashlib
+
+        for batch in batches:
+            hashes, fine = [], []
+            for body, *inside in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                whole = zstandard.ZstdDecompressor().decompress(body)
+                for offset, size, digest in zip(*inside, strict=True):
+                    hashes.append(digest)
+                    fine.append(hashlib.sha256(whole[offset : offset + size]).hexdigest() == digest)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(fine, pa.bool_())], ["hash", "exact"])
+
+    back = written_.select("body", "offsets", "sizes", "hashes").mapInArrow(read, "hash string, exact boolean")
+    return back.agg(F.count_distinct("hash").alias("chunks"), F.bool_and("exact").alias("exact"))

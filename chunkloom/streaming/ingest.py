@@ -42,3 +42,18 @@ def staged_after(events: DataFrame, now: int, ttl: int = 86_400) -> DataFrame:
     """Chunks still staged: the last touch of each within its time to live (touches refresh it)."""
     last = events.groupBy("hash").agg(F.max("touched").alias("touched"), F.max("committed").alias("committed"))
     return last.where(~F.col("committed") & (F.col("touched") >= now - ttl)).select("hash", "touched")
+
+
+def due(ticks: DataFrame, jobs: dict[str, int], checkpoint: str, run: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Periodic jobs on a stream of ticks (s, seconds): run gets (job, at) of every interval that a batch's ticks open.
+
+    An interval is a job and the second at which it begins, so a batch that is run again names the same ones, and a
+    sink that is keyed by them does each once. With a rate source and a processing-time trigger this is a scheduler.
+    """
+    table = F.array(*(F.struct(F.lit(job).alias("job"), F.lit(every).cast("long").alias("every")) for job, every in jobs.items()))
+
+    def batch(b: DataFrame, number: int) -> None:
+        each = b.select("s", F.explode(table).alias("j"))
+        run(each.select("j.job", (F.floor(F.col("s") / F.col("j.every")) * F.col("j.every")).alias("at")).distinct(), number)
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
