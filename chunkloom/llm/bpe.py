@@ -6,18 +6,22 @@ its leftmost pair of minimum rank, found with one hashed lookup of all adjacent
 place; rows without a mergeable pair leave the matrix. Ids are vocabulary ranks, so decoding is a
 concatenation of the vocabulary's byte strings.
 
-Pieces above LONG_PIECE bytes (no natural text has them) would need as many rounds as bytes; they are merged
-with a heap in the same order (lowest rank first, leftmost first), which gives the same ids in O(n log n).
+A piece above WINDOW bytes would need as many rounds as bytes: it becomes several rows, windows that overlap. Where two
+windows have the same token at the same place of their overlap, the first one's tokens up to there and the second
+one's from there on are joined. That is exact: a sequence of tokens is the encoding of its bytes when every two
+neighbours are neighbours in some encoding, and here all are neighbours in one window. Where an overlap has no such
+place, the piece is cut into wider windows, at last into one.
 
 Defined results: null text equals empty text and has no ids; every UTF-8 text decodes to its own bytes; text
-that looks like a special token is ordinary text unless the caller cuts it out first.
+that looks like a special token is ordinary text unless the caller cuts it out first; repeated rows and null ids are
+encoded one by one; very long texts and pieces are encoded whole; an empty table gives an empty result; further
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm.pretoken import piece_lists
 
-LONG_PIECE = 512
+#: Bytes of a window of a long piece, and bytes that neighbouring windows share.
+WINDOW, OVERLAP = 512, 128
 NO_RANK = np.uint32(0xFFFFFFFF)
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 PAD = np.uint32(0xFFFFFFFE)
@@ -111,26 +116,6 @@ class MatrixBPE:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.known: dict[str, bytes] = {}
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        ids = [int(self.byte_ids[b]) for b in piece]
-        n = len(ids)
-        words = [piece[i : i + 1] for i in range(n)]
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, 2) for i in range(n - 1) if (r := self.ranks.get(words[i] + words[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, size = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or len(words[i]) + len(words[j]) != size or self.ranks.get(words[i] + words[j]) != rank:
-                continue
-            words[i], ids[i], alive[j] = words[i] + words[j], rank, False
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (m := after[k]) < n and (r := self.ranks.get(words[k] + words[m])) is not None:
-                    heapq.heappush(heap, (r, k, len(words[k]) + len(words[m])))
-        return np.array([x for x, on in zip(ids, alive, strict=True) if on], np.uint32)
-
     def _matrix(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode the rows of a byte matrix (row i holds sizes[i] bytes): padded ids and their number."""
         width = raw.shape[1]
@@ -170,29 +155,65 @@ class MatrixBPE:
         """Ids of each piece as little-endian 32-bit integers."""
         out = [b"" if (r := rank) is None else r.to_bytes(4, "little") for rank in map(self.ranks.get, pieces)]
         todo = [i for i, ids in enumerate(out) if not ids]
-        size = np.fromiter((len(pieces[i]) for i in todo), np.int64, len(todo))
-        offset = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join([pieces[i] for i in todo]) + b"\0" * LONG_PIECE, np.uint8)
+        short = [i for i in todo if len(pieces[i]) <= WINDOW]
+        for i, ids in zip(short, self._rows([pieces[i] for i in short]), strict=True):
+            out[i] = ids
+        for i in todo:
+            if len(pieces[i]) > WINDOW:
+                out[i] = self._long(pieces[i])
+        return out
+
+    def _rows(self, pieces: list[bytes]) -> list[bytes]:
+        """encode_pieces by padded matrices, one row a piece."""
+        out = [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = np.where(size <= 16, size, np.where(size <= 32, (size + 3) // 4 * 4, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)))
+        offset = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(b"".join(pieces) + b"\0" * int(width.max(initial=0)), np.uint8)
         order = np.argsort(width, kind="stable")
         edges = np.flatnonzero(np.diff(width[order], prepend=-1, append=-2))
         for a, b in zip(edges, edges[1:], strict=False):
             w = int(width[order[a]])
             if w == 0:
                 continue
-            if w > LONG_PIECE:
-                for k in order[a:b].tolist():
-                    out[todo[k]] = self._heap(pieces[todo[k]]).astype("<u4").tobytes()
-                continue
             step = max(16, (1 << 16) // w)
             for first in range(a, b, step):
                 part = order[first : min(first + step, b)]
                 ids, count = self._matrix(flat[offset[part][:, None] + np.arange(w)], size[part])
                 buffer, stride = ids.astype("<u4").tobytes(), w * 4
                 for j, (k, n) in enumerate(zip(part.tolist(), (count * 4).tolist(), strict=True)):
-                    out[todo[k]] = buffer[j * stride : j * stride + n]
+                    out[k] = buffer[j * stride : j * stride + n]
         return out
 
+    def _long(self, piece: bytes) -> bytes:
+        """Ids of a piece of any length, from windows that overlap."""
+        width, shared = WINDOW, OVERLAP
+        while True:
+            starts = range(0, max(1, len(piece) - shared), width - shared)
+            rows = [np.frombuffer(ids, "<u4") for ids in self._rows([piece[s : s + width] for s in starts])]
+            joined = self._joined(rows, list(starts))
+            if joined is not None:
+                return joined.astype("<u4").tobytes()
+            width, shared = 4 * width, 4 * shared
+
+    def _joined(self, rows: list[np.ndarray], starts: list[int]) -> np.ndarray | None:
+        """One sequence of the windows' ids, or None where two windows have no token in common."""
+        places = [s + np.cumsum(self.lengths[ids]) - self.lengths[ids] for s, ids in zip(starts, rows, strict=True)]
+        out, begin = [], 0
+        for i, (ids, at) in enumerate(zip(rows, places, strict=True)):
+            if i + 1 == len(rows):
+                out.append(ids[begin:])
+                break
+            _, mine, theirs = np.intersect1d(at[begin:], places[i + 1], assume_unique=True, return_indices=True)
+            same = np.flatnonzero(ids[begin:][mine] == rows[i + 1][theirs])
+            same = same[mine[same] > 0]  # the token before it is this window's too
+            if not len(same):
+                return None
+            middle = same[len(same) // 2]  # far from both windows' ends
+            out.append(ids[begin : begin + mine[middle]])
+            begin = int(theirs[middle])
+        return np.concatenate(out)
+
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of pieces (all of them, even where older ones must be forgotten)."""
         new = [p for p in pieces if p not in self.known]

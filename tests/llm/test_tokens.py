@@ -69,10 +69,29 @@ def test_encoding_is_the_librarys(tik):
         assert bpe.decode(found) == text.encode()
 
 
-def test_matrix_and_heap_agree(tik):
+def test_long_pieces_are_joined_from_windows(tik, monkeypatch):
+    from chunkloom.llm import bpe as module
+
     bpe = encoder(RANKS, public_tokenizers.PATTERN)
-    for piece in ("ionationtion" * 30, "thethe" * 60, "a" * 400, "é" * 200):
-        assert bpe._heap(piece.encode()).tolist() == tik.encode_ordinary(piece)
+    pieces = ["ionationtion" * 300, "thethe" * 600, "a" * 9001, "\u00e9" * 2000, "abcdefg" * 701, "=" * 5000, *(t for t in long_texts() if " " not in t and "\n" not in t)]
+    for window, shared in ((512, 128), (64, 16), (24, 8)):
+        monkeypatch.setattr(module, "WINDOW", window)
+        monkeypatch.setattr(module, "OVERLAP", shared)
+        for piece in pieces:
+            assert np.frombuffer(bpe.encode_pieces([piece.encode()])[0], "<u4").tolist() == tik.encode_ordinary(piece)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abtheionl", min_size=65, max_size=900))
+def test_windows_of_any_letters(tik, text):
+    from chunkloom.llm import bpe as module
+
+    old = module.WINDOW, module.OVERLAP
+    module.WINDOW, module.OVERLAP = 64, 24
+    try:
+        assert np.frombuffer(encoder(RANKS, public_tokenizers.PATTERN).encode_pieces([text.encode()])[0], "<u4").tolist() == tik.encode_ordinary(text)
+    finally:
+        module.WINDOW, module.OVERLAP = old
 
 
 def test_forgetting_changes_nothing(tik, monkeypatch):
