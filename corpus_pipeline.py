@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each calling one operator of chunkloom.llm on all that its predecessor kept.
 
 run(spark, sf_dir) applies STAGES to the documents table; every stage's result is written to the shared folder and
-read again. All stages but the last return the columns of documents.
+read again. All stages but the last return the columns of documents, whatever further ones there are and whatever their
+names. Every stage takes an empty table and returns an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +19,41 @@ from chunkloom.llm.suffix_dedup import strip_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go (no letter, or bytes that no language's model codes)."""
+    """Documents in no known language go (no letter, or bytes that no language's model codes).
+
+    Null and empty texts have no letter and go; equal texts stay or go together; without any labelled row all texts
+    that have a letter stay; a null lang or id is no reason to go.
+    """
     return keep_languages(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts (A-Z folded) the one with the largest id stays.
+
+    Null equals empty; of rows with the same id and text one stays; a null id loses to any other.
+    """
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Texts without words are in no group and stay; of rows with the same smallest id one stays; a null id stays only in a
+    group without any other.
+    """
     return keep_one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere too are cut out of the texts."""
+    """Passages of 200 bytes and more that stand elsewhere too are cut out of the texts; n_chars follows.
+
+    Every row stays; a null text stays null, and one that is all repeated passages becomes empty.
+    """
     return strip_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 tokens."""
+    """Pieces of all documents in windows of 2048 tokens; a null or empty text is its end-of-document id alone."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
