@@ -5,11 +5,13 @@ go over all whole texts. The first counts in how many documents each licence wor
 The second looks up, per file and template, the template's words of highest IDF that the file holds, so many that
 no alignment of the least share can miss the votes it needs; the postings of one template are intersected by
 relative position (place in the file minus place in the template), and a template aligned by enough of its rare
-words is accepted when every one of its mandatory key phrases stands verbatim where the alignment puts it. Base phrases are counted at all places, whatever the index says.
+words is accepted when every one of its mandatory key phrases stands verbatim where the alignment puts it. Base
+phrases are counted at all places, whatever the index says.
 
 Defined results: null text equals empty text, without words or labels and with score 0; places count words from
 0; labels are distinct, sorted and comma-joined, empty without any; score is the best share of an aligned
-template's words that stand at their places, 1 for a base phrase; repeated rows and ids are judged one by one.
+template's words that stand at their places, 1 for a base phrase; repeated rows and ids are judged one by one; very
+long texts are scanned whole; an empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -43,3 +43,30 @@ def test_stages(spark, tmp_path):
     assert sum(r["length"] for r in packed.collect()) == total
 
     assert sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == total
+
+
+def test_nothing_stays_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    words = "the quick brown fox jumps over the lazy dog and runs on to the next field of corn"
+    rows = [(None, words, None, None, None, "a", 1), (1, words, "en", "s", len(words), "b", 2), (1, words, "en", "s", len(words), "b", 2), (2, None, "en", "s", 0, None, 3), (3, "", None, "s", 0, "c", 4), (4, words + " again", "en", None, None, "d", 5), (5, "12 34 !!", "en", "s", 8, "e", 6), (6, "word " * 30_000, "en", "s", 150_000, "f", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, kept int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "kept"]
+        left.append(sorted((r["doc_id"] or 0, r["kept"]) for r in docs.collect()))
+    assert left[0] == [(0, 1), (1, 2), (1, 2), (4, 5), (6, 7)]  # no letters, no document
+    assert left[1] == [(1, 2), (4, 5), (6, 7)]  # equal texts: the largest id, once
+    assert left[2] == [(1, 2), (6, 7)]  # near copies: the smallest id
+    assert left[3] == left[2] and {r["doc_id"]: r["text"] for r in docs.collect()}[6].strip() == ""
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg({"doc_id": "max"}).first()[0] == 6
