@@ -46,7 +46,7 @@ def main(args: list[str]) -> int:
     elif command in ("stats", "fsck", "scrub"):
         getattr(store, command)().show(1000, truncate=False)
     elif command == "optimize":
-        optimize.report(store).show()
+        optimize.run(store, int(time.time())).show()
     else:
         print(__doc__)
         return 2

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from chunkloom.operators.ranges import running_sum
 from chunkloom.plans.registry import query
+from chunkloom.plans.shared import written
 from chunkloom.sources.catalog import INDEPENDENT, META_SQL, MODES, SQL, chunk_meta, chunks, files, load, refs
 
 
@@ -158,25 +159,28 @@ QUOTA = 100_000
 def owner_quota_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads in order per owner; a rejected one doesn't consume quota.
 
-    The rule is sequential by nature: rows stream past in owner and id order, one running number is kept.
+    Rounds of prefix sums instead of one pass an owner: of the files that fit what is left of a quota, all before the first
+    overflow are accepted; what is left then shrinks below the file that overflowed, and the next round looks at the
+    files behind that still fit. No owner is one task, and a round is written before the next.
     """
-    import pandas as pd
-
-    def run(batches):
-        owner, used = None, 0
-        for b in batches:
-            out_used, ok = [], []
-            for o, size in zip(b["owner"], b["size"], strict=True):
-                if o != owner:
-                    owner, used = o, 0
-                fits = used + size <= QUOTA
-                used += size if fits else 0
-                out_used.append(used)
-                ok.append(fits)
-            yield b.assign(used=pd.array(out_used, "int64"), accepted=ok)
-
-    ordered = files(spark, sf_dir).select("owner", "id", "size").repartition("owner").sortWithinPartitions("owner", "id")
-    return ordered.mapInPandas(run, "owner string, id long, size long, used long, accepted boolean")
+    f = files(spark, sf_dir).select("owner", "id", "size").where("owner is not null")
+    room = f.select("owner").distinct().withColumn("room", F.lit(QUOTA).cast("long"))
+    todo, taken = f.where(F.col("size") <= QUOTA), []
+    while True:
+        fits = todo.join(room.withColumnRenamed("owner", "of"), F.col("owner") == F.col("of")).where("size <= room").drop("of")
+        run = written(running_sum(fits, ["owner"], F.col("id"), F.col("size"), "upto"))
+        if run.isEmpty():
+            break
+        taken.append(run.where("upto <= room").select("owner", "id"))
+        used = run.where("upto <= room").groupBy(F.col("owner").alias("of")).agg(F.max("upto").alias("used"))
+        room = written(room.join(used, F.col("owner") == F.col("of"), "left").select("owner", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
+        todo = run.where("upto > room").select("owner", "id", "size")
+    accepted = f.select("owner", "id").limit(0)
+    for ids in taken:
+        accepted = accepted.union(ids)
+    judged = f.join(accepted.select(F.col("owner").alias("a_owner"), F.col("id").alias("a_id")), (F.col("owner") == F.col("a_owner")) & (F.col("id") == F.col("a_id")), "left")
+    judged = judged.select("owner", "id", "size", F.col("a_id").isNotNull().alias("accepted"))
+    return running_sum(judged, ["owner"], F.col("id"), F.when(F.col("accepted"), F.col("size")).otherwise(0), "used").select("owner", "id", "size", "used", "accepted")
 
 
 @query("owner_first_overflow", 51, sql=f"""
