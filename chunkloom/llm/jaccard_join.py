@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import drop_table, materialize, mix64, text_slices, trim
+from chunkloom.llm.common import drop_table, key_filter, materialize, maybe_in, mix64, text_slices, trim
 from chunkloom.llm.components import components
 from chunkloom.llm.shingles import set_digest, shingle_sets
 
@@ -494,7 +494,8 @@ def _heavy_visits(held: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
 def met_links(visits: DataFrame, live: DataFrame, tasks: int) -> DataFrame:
     """Edges a, b between visitors and members of their hosts; large components and crowds of visitors are dealt over parts."""
     crowd = visits.groupBy("host").agg(F.count(F.lit(1)).alias("crowd"))
-    hosts = live.select("label", "members").join(crowd, F.col("label") == F.col("host")).dropDuplicates(["label"])
+    sizes = live.groupBy("label").agg(F.max("members").alias("members"))  # counted before they are exchanged
+    hosts = sizes.join(crowd, F.col("label") == F.col("host"))
     hosts = hosts.select("host", F.ceil(F.col("members") / GROUP_SETS).alias("parts"), F.ceil(F.col("crowd") / GROUP_SETS).alias("crowds"))
     hosts = materialize(hosts, "jaccard-hosts")
     every = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
@@ -585,10 +586,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     where no row linked with it has one. Columns may have any names; an empty table stays empty.
     """
     found = linked_rows(docs, id_col, text_col)
-    kept = found.where(F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
-    kept = materialize(kept.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count(F.lit(1)).alias("copies")), "jaccard-kept")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_mark"))
-    left = whole.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_mark") == F.col("mark")), "left_semi")
-    if not kept.where("copies > 1").isEmpty():
-        left = left.dropDuplicates(["row_id", "row_mark"])
-    return left.select("row.*")
+    none = F.lit(-(2**63))
+    stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    judged = found.select(F.coalesce("doc_id", none).alias("id"), F.coalesce("mark", none).alias("mark"), stays.alias("stays"))
+    judged = judged.groupBy("id", "mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies"))
+    judged = materialize(judged.where("not stays or copies > 1"), "jaccard-judged", free=True)
+    # rows that a bitmap shows to stay pass without an exchange; only the others are joined with the decisions
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), none).alias("row_id"), F.coalesce(F.xxhash64(F.col(text_col)), none).alias("row_mark"))
+    marked = maybe_in(whole, F.xxhash64("row_id", "row_mark"), key_filter(judged, F.xxhash64("id", "mark")), "maybe")
+    hits = marked.where("maybe").join(judged, (F.col("row_id") == F.col("id")) & (F.col("row_mark") == F.col("mark")), "left")
+    left = hits.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["row_id", "row_mark"])
+    return marked.where("not maybe").select("row.*").unionByName(left.select("row.*"))
