@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import drop_table, key_filter, materialize, maybe_in, mix64, text_slices, trim
+from chunkloom.llm.common import drop_table, key_filter, materialize, maybe_in, mix64, serve, text_slices, trim
 from chunkloom.llm.components import components
 from chunkloom.llm.shingles import set_digest, shingle_sets
 
@@ -52,6 +52,8 @@ BUCKET_TOKENS = 3_000_000
 GROUP_TOKENS = 1_000_000
 BLOCK_SETS = 256
 BLOCK_TOKENS = 500_000
+#: Bytes of text whose shingles are made together.
+SLICE_BYTES = 1 << 19
 #: Bytes of text that give one token at least, to size the token table; buckets that small inputs have.
 TOKEN_BYTES = 6
 LEAST_BUCKETS = 12
@@ -133,13 +135,14 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Dat
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("sets")
         seen: set[bytes] = set()
         held: list[tuple[bytes, np.ndarray]] = []
         rows: list[tuple] = []
         size = 0
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for texts in text_slices(batch.column(2)):
+            for texts in text_slices(batch.column(2), SLICE_BYTES):
                 for i, tokens in enumerate(shingle_sets(texts), texts.first):
                     node = set_digest(tokens) if len(tokens) else None
                     rows.append((ids[i], marks[i], len(tokens), node))

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.llm.common import serve, trim
 from chunkloom.llm.tokenfst import compiled
 
 CAPACITY = 2048
@@ -133,6 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     """One row per piece: its document, place and checksum, and its sequence and offset there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("tokens")
         tokenizer = compiled(tokenizer_file)
         end = END_OF_DOCUMENT.to_bytes(4, "little")
         packer = Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, capacity)
@@ -140,6 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 packer.add(doc_id, ids + end)
             yield packer.take()
+            trim()
         packer.close()
         yield packer.take()
 

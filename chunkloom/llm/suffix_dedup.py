@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from chunkloom.llm.common import Texts, key_filter, materialize, maybe_in, mix64, partitions, prefix_hash, span_hash, text_slices, trim
+from chunkloom.llm.common import Texts, key_filter, materialize, maybe_in, mix64, partitions, prefix_hash, serve, span_hash, text_slices, trim
 
 WINDOW = 200
 ANCHOR = 64
@@ -208,6 +208,7 @@ def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
         return _dealt(table, place.astype(np.int64), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("strings")
         held, size = [], 0
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -323,6 +324,7 @@ def open_contexts(found: DataFrame, buckets: int) -> DataFrame:
                 if size >= 8 << 20:
                     yield flush()
                     held, bodies, hashed, size = [], [], [], 0
+            trim()
         yield flush()
 
     return found.select("id", "hash", "text", "first", "extent", "anchor", "verdict").mapInArrow(run, "bucket int, kind int, table binary, bytes binary")
@@ -472,6 +474,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             texts = [cut_bytes(text.encode(), *marks)[0].decode(errors="ignore") for text, *marks in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(5)], ["text", "row"])
+            trim()
 
     marked = marked_documents(docs, id_col, text_col).select("text", "first", "extent", "verdict", "starts", "row")
     cut = marked.mapInArrow(run, StructType([StructField("text", StringType()), StructField("row", row_type)]))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.bpe import MatrixBPE
+from chunkloom.llm.common import CACHES, serve
 from chunkloom.llm.pretoken import END, LETTER, NUMBER, OTHER, QUOTE, SPACE, WHITE, classes, codes_of
 
 #: Symbols of the boundary transducer: classes, with the letters of contractions apart.
@@ -515,6 +516,9 @@ def compiled(path: str) -> CompiledTokenizer:
     return CompiledTokenizer(path)
 
 
+CACHES.append(compiled.cache_clear)
+
+
 #: Characters counted together, and the number of tokens beyond which a document is over the limit.
 RUN_CHARS = 1 << 18
 TOKEN_LIMIT = 1024
@@ -524,6 +528,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = TOKEN_LIMIT,
     """Per document: n_bytes (UTF-8), n_tokens, over_limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("tokens")
         tokenizer = compiled(tokenizer_file)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -2,7 +2,8 @@
 
 run(spark, sf_dir) applies STAGES to the documents table; every stage's result is written to the shared folder and
 read again. All stages but the last return the columns of documents, whatever further ones there are and whatever their
-names. Every stage takes an empty table and returns an empty one.
+names. Every stage takes an empty table and returns an empty one. The stages bound the bytes of the session's Arrow
+batches: executors and workers hold a few megabytes of texts at once, however long they are and however many a file has.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm.common import materialize, table
+from chunkloom.llm.common import bound_batches, materialize, table
 from chunkloom.llm.exact_dedup import keep_one
 from chunkloom.llm.jaccard_join import keep_one_of_each
 from chunkloom.llm.langid import keep_languages
@@ -24,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letter and go; equal texts stay or go together; without any labelled row all texts
     that have a letter stay; a null lang or id is no reason to go.
     """
+    bound_batches(spark)
     return keep_languages(docs)
 
 
@@ -32,6 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null equals empty; of rows with the same id and text one stays; a null id loses to any other.
     """
+    bound_batches(spark)
     return keep_one(docs)
 
 
@@ -41,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are in no group and stay; of rows with the same smallest id one stays; a null id stays only in a
     group without any other.
     """
+    bound_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -49,11 +53,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row stays; a null text stays null, and one that is all repeated passages becomes empty.
     """
+    bound_batches(spark)
     return strip_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens; a null or empty text is its end-of-document id alone."""
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -1,9 +1,13 @@
 """The stages against brute force, one after the other, each on what its predecessor kept."""
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from chunkloom.llm.common import BATCH_BYTES, serve
+from chunkloom.llm.tokenfst import compiled
 from tests.llm.test_similarity import LOW, brute_components, brute_cut, long_corpus
 
 
@@ -70,3 +74,36 @@ def test_nulls_repeats_and_clashing_names(spark, tmp_path):
     assert left[2] == [(1, 2), (6, 7)]  # near copies: the smallest id
     assert left[3] == left[2] and {r["doc_id"]: r["text"] for r in docs.collect()}[6].strip() == ""
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"doc_id": "max"}).first()[0] == 6
+
+
+def test_stages_bound_what_a_worker_is_sent(spark, tmp_path):
+    """Texts of 24 MB in one file don't reach a Python worker as one batch, whichever stage comes first."""
+    text = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 300)
+    spark.range(8000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length(text).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    bound, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(bound)
+            assert max(r[0] for r in docs.mapInArrow(sizes, "bytes long").collect()) > 3 * BATCH_BYTES
+            stage(spark, docs.limit(0), str(tmp_path))
+            assert max(r[0] for r in docs.mapInArrow(sizes, "bytes long").collect()) < 1.5 * BATCH_BYTES, name
+        spark.conf.set(bound, "1m")  # what a session sets itself stays
+        corpus_pipeline.packing(spark, docs, str(tmp_path))
+        assert spark.conf.get(bound) == "1m"
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    serve("tokens")
+    tokenizer = compiled(public_tokenizers.path("byte_bpe_50k.json"))
+    serve("tokens")
+    assert compiled(public_tokenizers.path("byte_bpe_50k.json")) is tokenizer
+    serve("languages")
+    assert compiled.cache_info().currsize == 0
